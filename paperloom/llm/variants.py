@@ -136,7 +136,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def parse_names(names: DataFrame) -> DataFrame:
-    """``(name, kind, family, given, middle, initial)`` of each distinct name, order and nicknames resolved."""
+    """``(name, kind, family, given, middle, canon, initials)`` of each distinct name, order and nicknames resolved."""
     parsed = materialize(names.mapInPandas(_parse, "name string, kind string, family string, given string, middle string, suffix string, nick string"), "names")
     clear, unclear = F.col("kind") == "p", F.col("kind") == "u"
     uses = parsed.select(
@@ -161,7 +161,7 @@ def parse_names(names: DataFrame) -> DataFrame:
     fixed = names.sparkSession.createDataFrame(list(NICKNAMES), "nick string, full string").withColumn("n", F.lit(1))
     heard = ordered.where("nick <> '' and length(given) > 1").groupBy("nick", F.col("given").alias("full")).agg((F.count("*") + 1).cast("int").alias("n"))
     short = fixed.unionByName(heard).groupBy("nick").agg(F.max_by("full", F.struct("n", "full")).alias("full"))
-    return ordered.drop("nick").join(short.withColumnRenamed("nick", "given"), "given", "left").withColumn("canon", F.coalesce("full", "given")).withColumn("initial", F.substring("canon", 1, 1)).drop("full")
+    return ordered.drop("nick").join(short.withColumnRenamed("nick", "given"), "given", "left").withColumn("canon", F.coalesce("full", "given")).withColumn("initials", F.array_distinct(F.array(F.substring("given", 1, 1), F.substring("canon", 1, 1)))).drop("full")
 
 
 @F.pandas_udf(BooleanType())
@@ -192,13 +192,13 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
     families = known.select(F.col("family").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
     near = families.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> ''")
 
-    own = lambda s: known.select(*[F.col(c).alias(c + s) for c in ("name", "kind", "family", "given", "middle", "canon", "initial")])
+    own = lambda s: known.select(*[F.col(c).alias(c + s) for c in ("name", "kind", "family", "given", "middle", "canon")], F.explode("initials").alias("initial" + s))
     found = own("_a").join(near.withColumnsRenamed({"a": "family_a", "b": "family_b"}), "family_a").join(own("_b"), "family_b")
     middle = (F.col("middle_a") == "") | (F.col("middle_b") == "") | (F.substring("middle_a", 1, 1) == F.substring("middle_b", 1, 1))
     found = found.where("name_a < name_b and kind_a = kind_b and initial_a = initial_b").where(middle)
     # compared before the UDF, for it has to see few rows
     found = found.where(_given_agree("given_a", "canon_a", "given_b", "canon_b"))
-    found = materialize(found.select("name_a", "name_b", "family_a", "family_b", "given_a", "given_b", "canon_a", "canon_b", "d"), "name-candidates")
+    found = materialize(found.select("name_a", "name_b", "family_a", "family_b", "given_a", "given_b", "canon_a", "canon_b", "d").distinct(), "name-candidates")
 
     member = rows.join(known.select("name", "family"), "name").select("work", "name", "family").where("family <> ''")
     met = member.alias("l").join(member.select("work", F.col("family").alias("other")).distinct().alias("r"), "work").where("family <> other").select("name", "family", "other").distinct()
@@ -214,12 +214,14 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
         judged = judged.join(context.select(F.col("name").alias(f"name_{s}"), F.col("n_met").alias(f"met_{s}"), F.col("main").alias(f"main_{s}")), f"name_{s}")
     judged = materialize(judged.withColumn("same", F.coalesce(F.col("main_a") == F.col("main_b"), F.lit(False))), "judged")
     hop = met.select(F.col("family").alias("x"), F.col("other").alias("y")).distinct()
-    open_pairs = judged.where("shared = 0 and met_a > 0 and met_b > 0").select("name_a", "name_b", "family_b")
+    open_pairs = judged.where("(shared = 0 or shared = 1 and not same) and met_a > 0 and met_b > 0").select("name_a", "name_b", "family_b")
     hops = open_pairs.join(met_a, "name_a").where("x <> family_b").join(hop, "x").join(met_b, ["name_b", "y"]).groupBy("name_a", "name_b").agg(F.count("*").alias("hops"))
     judged = judged.join(hops, ["name_a", "name_b"], "left").fillna({"hops": 0})
     share = F.col("hops") / F.greatest(F.lit(1), F.col("met_a") * F.col("met_b"))
+    alike = (F.col("d") == 0) & (F.col("canon_a") == F.col("canon_b")) & (F.length("given_a") > 1) & (F.length("given_b") > 1)
     accepted = (
-        ((F.col("shared") >= 1) & (F.col("same") | (F.col("shared") >= 2) | (F.least("met_a", "met_b") <= options.alone)))
+        ((F.col("shared") >= 1) & (F.col("same") | alike | (F.col("shared") >= 2) | (F.least("met_a", "met_b") <= options.alone) | (share >= options.hop_share * 4 / 3)))
+        | (alike & F.col("same"))
         | ((share >= options.hop_share) & F.col("same"))
         | (share >= 2 * options.hop_share)
         | (F.col("same") & (F.least("met_a", "met_b") <= 1) & (F.col("met_a") * F.col("met_b") <= options.alone))
