@@ -148,7 +148,7 @@ class Parser:
     def cost(self, value: str) -> float:
         f = form(value)
         if f in SUFFIXES:
-            return 2.0 * self.escape
+            return 4.0 * self.escape
         found = self.codes.get(f) if self.codes is not None else None
         return found if found is not None else self.escape + TOKEN_BITS * (1 + f.count(" "))
 
@@ -190,17 +190,22 @@ class Parser:
                 yield f"{name} keep", _finish(segments, kept)
                 continue
             yield f"{name} keep", _finish(segments, kept)
-            yield f"{name} split", _finish((p for x in segments for p in WEAK.split(x)), kept)
-            yield f"{name} join", _finish((p for x in segments for p in JOINS.split(x)), kept)
-            if self.codes is not None:
+            apart = _finish((p for x in segments for p in WEAK.split(x)), kept)
+            yield f"{name} split", apart
+            if any(JOINS.search(x) for x in segments):
+                yield f"{name} join", _finish((p for x in segments for p in JOINS.split(x)), kept)
+            if self.codes is not None and not self._settled(name, apart):
                 yield f"{name} mixed", [v for x in segments for v in self._mixed(x, kept)]
 
+    def _code(self, name: str) -> float:
+        return self.dialects.get(name) or (self.dialects.get(name[:-5] + "split", 12.0) + 2.0 if name.endswith("mixed") else 14.0)
+
+    def _settled(self, name: str, apart: list[str]) -> bool:
+        """Whether no mixed parse can be cheaper than the split one: each has to pay for one kept delimiter at least."""
+        return sum(map(self.cost, apart)) + self._code(f"{name} split") <= self._code(f"{name} mixed") + 2.0
+
     def scored(self, field: str) -> list[tuple[float, str, list[str]]]:
-        out = []
-        for name, values in self.parses(field):
-            own = self.dialects.get(name) or (self.dialects.get(name[:-5] + "split", 12.0) + 2.0 if name.endswith("mixed") else 14.0)
-            out.append((sum(map(self.cost, values)) + own, name, values))
-        return out
+        return [(sum(map(self.cost, values)) + self._code(name), name, values) for name, values in self.parses(field)]
 
     def best(self, field: str | None) -> tuple[str | None, list[str]]:
         if not isinstance(field, str) or not (scored := self.scored(field)):
