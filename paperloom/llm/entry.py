@@ -20,9 +20,67 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(link_variants(authors.join(first, "line_no"), "author", "line_no", "category"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.lookalike import lookalike_pairs
+
+    (documents,) = tables(spark, d, "documents")
+    return lookalike_pairs(documents, "doc_id", "text").toDF("doc_id_a", "doc_id_b")
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.lookalike import consistent_form
+
+    (documents,) = tables(spark, d, "documents")
+    return consistent_form(documents, "doc_id", "text")
+
+
+def p1_store(spark: SparkSession, d: str):
+    """The store after two batches: rows that arrived in time, then the late ones."""
+    from paperloom.llm.terms import TermStore, term_delta
+
+    (papers,) = tables(spark, d, "papers")
+    late = F.coalesce(F.col("received_at") > F.col("updated_at") + F.expr("interval 2 days"), F.lit(False))
+    store = TermStore(spark)
+    for batch in (papers.where(~late), papers.where(late)):
+        store.merge(term_delta(batch, ["title", "abstract"]))
+    return store
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_store(spark, d).marks().select("field", "term", "band")
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p1_store(spark, d).counts()
+
+
+def p1_revised(spark: SparkSession, d: str) -> DataFrame:
+    """Counts after rows of a paper that were sent again replace the rows sent before: signed deltas against the full counts."""
+    from paperloom.llm.terms import changes, term_delta
+
+    (papers,) = tables(spark, d, "papers")
+    store = p1_store(spark, d)
+    latest = papers.join(papers.where("id is not null").groupBy("id").agg(F.max("line_no").alias("line_no")), ["line_no", "id"], "left_semi").unionByName(papers.where("id is null"))
+    turned = changes(papers, latest, "line_no", ["title", "abstract"])
+    store.merge(term_delta(turned, ["title", "abstract"], F.col("sign")))
+    return store.counts()
+
+
+WORDS_SQL = """
+with texts as (select line_no, 'title' as field, title as t from {papers} union all select line_no, 'abstract', abstract from {papers}),
+words as (select line_no, field, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+')) as term from texts where t is not null),
+counts as (select field, term, count(*)::bigint as occurrences, count(distinct line_no)::bigint as records from words group by all)
+"""
+LATEST_SQL = "(select * from papers p where id is null or line_no = (select max(line_no) from papers q where q.id = p.id))"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": WORDS_SQL.format(papers="papers") + "select field, term, case when records <= 2 then 'rare' else 'common' end as band from counts where records <= 2 or records > 0.2 * (select count(*) from papers)",
+        "p1_counts": WORDS_SQL.format(papers="papers") + "select * from counts",
+        "p1_revised": WORDS_SQL.format(papers=LATEST_SQL) + "select * from counts",
+    }
