@@ -34,6 +34,41 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(documents, "doc_id", "text")
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.packing import pack
+
+    documents, sizes = tables(spark, d, "documents", "pack_sizes")
+    return pack(documents, "doc_id", "text", sizes)
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.packing import packing_report
+
+    (sizes,) = tables(spark, d, "pack_sizes")
+    return packing_report(p6_packed(spark, d), sizes)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.leakage import find_leaks
+
+    documents, items = tables(spark, d, "documents", "eval_items")
+    return find_leaks(documents, "doc_id", "text", items, "item_id", "text")
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.leakage import leaked_spans
+
+    documents, items = tables(spark, d, "documents", "eval_items")
+    return leaked_spans(documents, "doc_id", "text", items, "item_id", "text")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.leakage import leaked_spans, remove_leaks
+
+    documents, items = tables(spark, d, "documents", "eval_items")
+    return remove_leaks(documents, "doc_id", "text", materialize(leaked_spans(documents, "doc_id", "text", items, "item_id", "text"), "spans"))
+
+
 def p1_store(spark: SparkSession, d: str):
     """The store after two batches: rows that arrived in time, then the late ones."""
     from paperloom.llm.terms import TermStore, term_delta
@@ -75,7 +110,7 @@ LATEST_SQL = "(select * from papers p where id is null or line_no = (select max(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p6_packed, p6_report, p7_found, p7_spans, p7_clean, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
