@@ -31,12 +31,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.runtime import materialize
+
 STRONG = {";": ";", "|": r"\|+", "/": "/", "·": "·", "•": "•", "\n": r"[\r\n]+", "\t": r"\t+", " - ": r"\s[-–—]\s"}
 #: Fixed words of names: particles, suffixes, function words and generic parts of organisation names.
 PARTICLES = frozenset("of for and the de la van von der den del di da du le".split())
@@ -86,6 +87,25 @@ def form(value: str) -> str:
     return " ".join(out)
 
 
+#: Words that the parser looks at; all others count by their class only.
+LITERAL = PARTICLES | SUFFIXES | ORGANISATION | {"et", "al", "others", "with"}
+SPELLED = {"W": "Xx", "I": "X.", "9": "9"}
+PLAIN_WORD = re.compile(r"[^\W_][\w'’.\-]*")
+
+
+@lru_cache(200_000)
+def _stand_in(word: str) -> str:
+    return word if word.rstrip(".").lower() in LITERAL else SPELLED.get(form(word), word)
+
+
+def skeleton(field: str) -> str:
+    """The field with each word replaced by one that stands for its class: fields of one skeleton have the same parses."""
+    s = field.strip()
+    if (values := _as_list(s)) is not None:
+        return json.dumps([skeleton(v) for v in values])
+    return PLAIN_WORD.sub(lambda m: _stand_in(m[0]), s)
+
+
 @lru_cache(200_000)
 def _clean_value(piece: str) -> str:
     v = " ".join(piece.split()).strip(" ,;")
@@ -144,6 +164,7 @@ class Parser:
 
     def __init__(self, codes: dict[str, float] | None, escape: float, dialects: dict[str, float] | None, longest_join: int = 4):
         self.codes, self.escape, self.dialects, self.longest_join = codes, escape, dialects or {}, longest_join
+        self._chosen: dict[str, str | None] = {}
 
     def cost(self, value: str) -> float:
         f = form(value)
@@ -172,7 +193,8 @@ class Parser:
             j = best[j][1]
         return [v for part in reversed(out) for v in part]
 
-    def parses(self, field: str) -> Iterator[tuple[str, list[str]]]:
+    def parses(self, field: str, only: str | None = None) -> Iterator[tuple[str, list[str]]]:
+        """``(dialect, values)`` of every dialect the field allows, or of one of them."""
         s = field.strip()
         if not s:
             return
@@ -184,17 +206,21 @@ class Parser:
         quote = "quoted" if kept else "plain"
         present = [d for d in STRONG if d in text or (d == " - " and re.search(STRONG[d], text))]
         for chosen in [(), *((d,) for d in present), *([tuple(present)] if len(present) > 1 else [])]:
-            segments = re.split("|".join(STRONG[d] for d in chosen), text) if chosen else [text]
             name = f"{quote} {''.join(chosen)!r}"
-            if not any(WEAK.search(x) for x in segments):
+            if only and not only.startswith(f"{name} "):
+                continue
+            segments = re.split("|".join(STRONG[d] for d in chosen), text) if chosen else [text]
+            mode = only and only[len(name) + 1 :]
+            if mode in (None, "keep"):
                 yield f"{name} keep", _finish(segments, kept)
+            if only is None and not any(WEAK.search(x) for x in segments):
                 continue
-            yield f"{name} keep", _finish(segments, kept)
-            apart = _finish((p for x in segments for p in WEAK.split(x)), kept)
-            yield f"{name} split", apart
-            if any(JOINS.search(x) for x in segments):
+            if mode in (None, "split"):
+                apart = _finish((p for x in segments for p in WEAK.split(x)), kept)
+                yield f"{name} split", apart
+            if mode in (None, "join") and any(JOINS.search(x) for x in segments):
                 yield f"{name} join", _finish((p for x in segments for p in JOINS.split(x)), kept)
-            if self.codes is not None and not self._settled(name, apart):
+            if mode == "mixed" or mode is None and self.codes is not None and not self._settled(name, apart):
                 yield f"{name} mixed", [v for x in segments for v in self._mixed(x, kept)]
 
     def _code(self, name: str) -> float:
@@ -208,54 +234,76 @@ class Parser:
         return [(sum(map(self.cost, values)) + self._code(name), name, values) for name, values in self.parses(field)]
 
     def best(self, field: str | None) -> tuple[str | None, list[str]]:
-        if not isinstance(field, str) or not (scored := self.scored(field)):
+        """The cheapest dialect, which is the same for all fields of a skeleton, and the field's values in it."""
+        if not isinstance(field, str):
             return None, []
-        _, name, values = min(scored, key=lambda x: x[0])
-        return name, values
+        kind = skeleton(field)
+        if kind not in self._chosen:
+            if len(self._chosen) > 100_000:
+                self._chosen.clear()
+            self._chosen[kind] = min(self.scored(kind), key=lambda x: x[0], default=(0.0, None, []))[1]
+        name = self._chosen[kind]
+        return next(((n, v) for n, v in self.parses(field, name) if n == name), (None, []))
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter(skeleton(x) for x in batch.column(0).to_pylist())
+        counts.pop("", None)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["field", "n"])
 
 
-def _count(frames: Iterator[pd.DataFrame], parser: Parser) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _count(batches: Iterator[pa.RecordBatch], parser: Parser) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         counts: Counter = Counter()
-        for field in frame.iloc[:, 0]:
-            if not isinstance(field, str):
-                continue
+        for field, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if parser.codes is None:
-                found = [(1.0, n, v) for n, v in parser.parses(field)]
-                weights = [1.0 / max(1, len(found))] * len(found)
+                found = [(1.0, *x) for x in parser.parses(field)]
+                weights = [1.0] * len(found)
             else:
                 found = parser.scored(field)
                 least = min((x[0] for x in found), default=0.0)
-                raw = [2.0 ** max(-60.0, least - x[0]) for x in found]
-                weights = [r / max(sum(raw), 1e-30) for r in raw]
+                weights = [2.0 ** max(-60.0, least - x[0]) for x in found]
+            total = sum(weights)
             for w, (_, name, values) in zip(weights, found, strict=True):
-                if w < 1e-6:
+                if w < 1e-6 * total:
                     continue
-                counts["d", name] += w
+                counts["d", name] += n * w / total
                 for v in values:
-                    counts["f", form(v)] += w
-        yield pd.DataFrame([(k, c, n) for (k, c), n in counts.items()], columns=["kind", "code", "n"])
+                    counts["f", form(v)] += n * w / total
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([c for _, c in counts], pa.string()), pa.array(list(counts.values()), pa.float64())], names=["kind", "code", "n"])
 
 
 def learn_codes(df: DataFrame, column: str, options: PackedOptions = PackedOptions()) -> Parser:
-    """The code lengths of all forms and dialects of ``column``, counted over the whole table."""
+    """The code lengths of all forms and dialects of ``column``, counted over the whole table.
+
+    Rows are first counted by skeleton, so each round parses a skeleton once, whatever its rows.
+    """
     parser = Parser(None, 0.0, None, options.longest_join)
-    fields = df.select(F.col(column).cast("string").alias("field")).where(F.col("field").isNotNull())
+    fields = df.select(F.col(f"`{column}`").cast("string").alias("field")).where("field is not null")
+    kinds = fields.mapInArrow(_skeletons, "field string, n bigint").groupBy("field").agg(F.sum("n").alias("n"))
+    kinds = materialize(kinds, "field-skeletons")
     for _ in range(options.rounds):
-        counted = fields.mapInPandas(lambda it, p=parser: _count(it, p), "kind string, code string, n double").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+        counted = kinds.mapInArrow(lambda it, p=parser: _count(it, p), "kind string, code string, n double").groupBy("kind", "code").agg(F.sum("n").alias("n"))
         rows = counted.orderBy(F.desc("n"), "kind", "code").limit(options.max_forms).collect()
-        total = {k: sum(r.n for r in rows if r.kind == k) + 1.0 for k in "fd"}
-        lengths = {k: {r.code: -math.log2(r.n / total[k]) for r in rows if r.kind == k} for k in "fd"}
-        spelled = {r.code: TOKEN_BITS * (1 + r.code.count(" ")) / r.n for r in rows if r.kind == "f"}  # a form's own entry, shared by its uses
-        lengths["f"] = {f: min(n + spelled[f], math.log2(total["f"]) + TOKEN_BITS * (1 + f.count(" "))) for f, n in lengths["f"].items()}
-        parser = Parser(lengths["f"], math.log2(total["f"]), lengths["d"], options.longest_join)
+        parser = _parser_of([(r.kind, r.code, r.n) for r in rows], options)
     return parser
 
 
+def _parser_of(rows: list[tuple[str, str, float]], options: PackedOptions) -> Parser:
+    total = {k: sum(n for kind, _, n in rows if kind == k) + 1.0 for k in "fd"}
+    lengths = {k: {code: -math.log2(n / total[k]) for kind, code, n in rows if kind == k} for k in "fd"}
+    for kind, f, n in rows:
+        if kind == "f":  # a form's own entry costs its tokens, shared by its uses
+            spelled = TOKEN_BITS * (1 + f.count(" "))
+            lengths["f"][f] = min(lengths["f"][f] + spelled / n, math.log2(total["f"]) + spelled)
+    return Parser(lengths["f"], math.log2(total["f"]), lengths["d"], options.longest_join)
+
+
 def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions = PackedOptions(), value: str = "value") -> DataFrame:
     """One row ``(key, pos, value, dialect)`` for each value of ``column``; ``pos`` counts from 1."""
     parser = learn_codes(df, column, options)
-    key_type = df.select(F.col(key)).schema[0].dataType
+    key_type = df.select(F.col(f"`{key}`")).schema[0].dataType
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,4 +320,4 @@ def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions =
             )
 
     schema = T.StructType([T.StructField(key, key_type), T.StructField("pos", T.IntegerType()), T.StructField(value, T.StringType()), T.StructField("dialect", T.StringType())])
-    return df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("field")).where(F.col("field").isNotNull()).mapInArrow(parse, schema)
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").cast("string").alias("field")).where(F.col("field").isNotNull()).mapInArrow(parse, schema)
