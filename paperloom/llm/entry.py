@@ -34,6 +34,20 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(documents, "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.neardup import NearDupOptions, row_pairs
+
+    (papers,) = tables(spark, d, "papers")
+    return row_pairs(papers, "line_no", ["title", "abstract"], NearDupOptions(shingle=3, similarity=0.6, min_words=20, groups=8)).toDF("line_no_a", "line_no_b")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.neardup import row_groups
+
+    (papers,) = tables(spark, d, "papers")
+    return row_groups(papers, "line_no", ["title", "abstract"]).withColumnRenamed("group", "group_line_no")
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.packing import pack
 
@@ -110,7 +124,7 @@ LATEST_SQL = "(select * from papers p where id is null or line_no = (select max(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p6_packed, p6_report, p7_found, p7_spans, p7_clean, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p5_found, p5_groups, p6_packed, p6_report, p7_found, p7_spans, p7_clean, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

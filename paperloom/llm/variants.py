@@ -56,10 +56,10 @@ NICKNAMES = (
 @dataclass(frozen=True)
 class VariantOptions:
     radius: int = 1
-    objects_per_pivot: int = 400
+    objects_per_pivot: int = 5000
     max_pivots: int = 512
     pivot_sample: int = 4000
-    block: int = 1500
+    block: int = 20_000
     hop_share: float = 0.15
     alone: int = 3
 
@@ -80,13 +80,13 @@ def _pivots(objects: list[str], count: int) -> list[str]:
     return [objects[k] for k in chosen]
 
 
-def _letters(names: list[str]) -> np.ndarray:
-    """Counts of 32 letter classes: the L1 distance of two rows is at most twice the edit distance."""
-    out = np.zeros((len(names), 32), np.int16)
-    for i, x in enumerate(names):
-        for c in x:
-            out[i, ord(c) & 31] += 1
-    return out
+def _shortened(x: str, r: int) -> set[str]:
+    """``x`` with up to ``r`` letters left out: strings within distance ``r`` have one of these in common."""
+    found = level = {x}
+    for _ in range(r):
+        level = {y[:i] + y[i + 1 :] for y in level for i in range(len(y))}
+        found = found | level
+    return found
 
 
 def radius_join(objects: DataFrame, column: str, options: VariantOptions = VariantOptions()) -> DataFrame:
@@ -113,17 +113,16 @@ def radius_join(objects: DataFrame, column: str, options: VariantOptions = Varia
     everyone = placed.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "x", F.when(F.col("own"), F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("home"))
 
     def join(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        xs = f["x"].tolist()
-        codes, lengths = encode(xs)
-        letters = _letters(xs)
-        mine = np.flatnonzero((f["home"] == key[1]).to_numpy())
+        # the cell's own objects are indexed; every object of the cell looks for them
+        index: dict[str, list[str]] = {}
+        for x in f["x"][f["home"] == key[1]]:
+            for v in _shortened(x, r):
+                index.setdefault(v, []).append(x)
         out: list[tuple[str, str, int]] = []
-        for i in mine:
-            close = np.flatnonzero((np.abs(lengths - lengths[i]) <= r) & (np.abs(letters - letters[i]).sum(1) <= 2 * r))
-            if len(close) < 2:
-                continue
-            d = damerau_many(xs[i], codes[close], lengths[close])
-            out += [(min(xs[i], xs[j]), max(xs[i], xs[j]), int(k)) for j, k in zip(close, d, strict=True) if k <= r and j != i]
+        for y in f["x"]:
+            for x in {x for v in _shortened(y, r) for x in index.get(v, ())} - {y}:
+                if (d := damerau(x, y)) <= r:
+                    out.append((min(x, y), max(x, y), d))
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
     return everyone.groupBy("cell", "block").applyInPandas(join, "a string, b string, d int").distinct()
@@ -188,7 +187,7 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
     rows = authors.select(F.col(name).alias("name"), F.col(work).alias("work"), F.col(category).alias("category")).where("trim(name) <> '' and work is not null").distinct()
     rows = materialize(rows, "author-rows")
     known = materialize(parse_names(rows.select("name").distinct()), "parsed-names")
-    pairs = radius_join(known, "family", options)
+    pairs = materialize(radius_join(known, "family", options), "family-pairs")
     families = known.select(F.col("family").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
     near = families.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> ''")
 
@@ -200,15 +199,17 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
     found = found.where(_given_agree("given_a", "canon_a", "given_b", "canon_b"))
     found = materialize(found.select("name_a", "name_b", "family_a", "family_b", "given_a", "given_b", "canon_a", "canon_b", "d").distinct(), "name-candidates")
 
-    member = rows.join(known.select("name", "family"), "name").select("work", "name", "family").where("family <> ''")
-    met = member.alias("l").join(member.select("work", F.col("family").alias("other")).distinct().alias("r"), "work").where("family <> other").select("name", "family", "other").distinct()
+    # evidence is kept by 64-bit hashes of names and families
+    member = rows.join(known.select("name", "family"), "name").where("family <> ''").select("work", F.xxhash64("name").alias("name"), F.xxhash64("family").alias("family"))
+    met = member.join(member.select("work", F.col("family").alias("other")).distinct(), "work").where("family <> other").select("name", "family", "other").distinct()
     met = materialize(met, "met")
     sizes = met.groupBy("name").agg(F.count("*").alias("n_met"))
-    worked = rows.where("category is not null and category <> ''").groupBy("name", "category").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("category", F.struct("n", "category")).alias("main"))
-    context = materialize(known.select("name").join(sizes, "name", "left").join(worked, "name", "left").fillna({"n_met": 0}), "contexts")
+    worked = rows.where("category is not null and category <> ''").groupBy(F.xxhash64("name").alias("name"), F.xxhash64("category").alias("category")).agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("category", F.struct("n", "category")).alias("main"))
+    context = materialize(known.select(F.xxhash64("name").alias("name")).join(sizes, "name", "left").join(worked, "name", "left").fillna({"n_met": 0}), "contexts")
 
     met_a, met_b = met.select(F.col("name").alias("name_a"), F.col("other").alias("x")), met.select(F.col("name").alias("name_b"), F.col("other").alias("y"))
-    shared = found.select("name_a", "name_b").join(met_a, "name_a").join(met_b, ["name_b"]).where("x = y").groupBy("name_a", "name_b").agg(F.count("*").alias("shared"))
+    found = found.withColumnsRenamed({"name_a": "text_a", "name_b": "text_b"}).withColumns({f"name_{s}": F.xxhash64(f"text_{s}") for s in "ab"}).withColumn("family_b", F.xxhash64("family_b"))
+    shared = found.select("name_a", "name_b").join(met_a, "name_a").join(met_b, [F.col("x") == F.col("y"), found["name_b"] == met_b["name_b"]]).groupBy(found["name_a"], found["name_b"]).agg(F.count("*").alias("shared"))
     judged = found.join(shared, ["name_a", "name_b"], "left").fillna({"shared": 0})
     for s in "ab":
         judged = judged.join(context.select(F.col("name").alias(f"name_{s}"), F.col("n_met").alias(f"met_{s}"), F.col("main").alias(f"main_{s}")), f"name_{s}")
@@ -227,7 +228,7 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
         | (F.col("same") & (F.least("met_a", "met_b") <= 1) & (F.col("met_a") * F.col("met_b") <= options.alone))
     )
     score = F.col("shared") * 2.0 + share + F.col("same").cast("double") - 0.25 * F.col("d")
-    links = materialize(judged.where(accepted).select("name_a", "name_b", "given_a", "given_b", "canon_a", "canon_b", score.alias("score")), "judged-links")
+    links = materialize(judged.where(accepted).select(F.col("text_a").alias("name_a"), F.col("text_b").alias("name_b"), "given_a", "given_b", "canon_a", "canon_b", score.alias("score")), "judged-links")
     # a name of initials only keeps the partners whose given name agrees with that of its strongest partner
     brief = lambda c: F.length(F.replace(F.col(c), F.lit(" "), F.lit(""))) <= F.size(F.split(F.col(c), " "))
     spelled = links.where(brief("given_a") & ~brief("given_b")).select(F.col("name_a").alias("name"), F.col("canon_b").alias("canon"), "score")
