@@ -34,6 +34,24 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(documents, "doc_id", "text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.neighbours import neighbours
+
+    vectors, requests = tables(spark, d, "paper_vectors", "similar_requests")
+    requests = requests.where("request_id is not null").groupBy("request_id").agg(F.min_by("paper_id", "received_at").alias("id"), F.min_by("top_k", "received_at").alias("k"))
+    found, _ = neighbours(vectors, "paper_id", "vec_no", "embedding", requests.select("id", "k"))
+    return requests.withColumnRenamed("id", "q").join(found, "q").where("place <= k").select("request_id", F.col("id").alias("neighbour_id"))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every row whose ``vec_no`` is divisible by 50, against all rows."""
+    from paperloom.llm.neighbours import neighbours
+
+    (vectors,) = tables(spark, d, "paper_vectors")
+    found, _ = neighbours(vectors, "paper_id", "vec_no", "embedding", vectors.where("vec_no % 50 = 0").select(F.col("paper_id").alias("id"), F.lit(10).alias("k")))
+    return found.select(F.col("q").alias("paper_id"), F.col("id").alias("neighbour_id"), F.round("s", 5).alias("similarity"), "place")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.neardup import NearDupOptions, row_pairs
 
@@ -124,7 +142,7 @@ LATEST_SQL = "(select * from papers p where id is null or line_no = (select max(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p5_found, p5_groups, p6_packed, p6_report, p7_found, p7_spans, p7_clean, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p4_found, p4_neighbours, p5_found, p5_groups, p6_packed, p6_report, p7_found, p7_spans, p7_clean, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
