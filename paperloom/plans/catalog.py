@@ -1,27 +1,362 @@
-"""The registered queries of the core, with the SQL that defines their results."""
+"""The registered queries of the core. Their SQL is in ``paperloom.plans.sql``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from paperloom.config import SearchConfig
+from paperloom.functions.text import latex_to_words, squeeze, strip, words
+from paperloom.functions.vector import l2_normalize, norm, similarity_of_distance, squared_distance
+from paperloom.operators import search as ops
+from paperloom.operators.bm25 import Bm25Tables, bm25_candidates, bm25_hits, bm25_normalized, bm25_tables, bm25_weighted, field_tokens, query_terms
+from paperloom.operators.corpus import authors_list, shard_corpus, shard_order
+from paperloom.operators.etl import cap_categories, display, has_category, in_categories, nfkd_ascii, pdf_link
 from paperloom.operators.packed import split_packed
-from paperloom.runtime import tables
+from paperloom.operators.spelling import correct, lookup, word_frequency
+from paperloom.operators.vectors import CellIndex, embed, nearest_per_shard
+from paperloom.plans.engine import autocomplete_many, build_index, search_many
+from paperloom.plans.sql import oracle_sql
+from paperloom.runtime import table, tables
+from paperloom.sources.jsonl import parse_lines
+from paperloom.streaming.ingest import request_windows, run_to_table, stream_table
 
+__all__ = ["flagship", "oracle_sql", "queries"]
 
+#: The query of the single-query examples.
+QUERY = "sparse graph attention"
+CONFIG = SearchConfig()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return shard_corpus(table(spark, d, "papers"), CONFIG.shards)
+
+
+def _one(spark: SparkSession, text: str = QUERY) -> DataFrame:
+    return spark.createDataFrame([(text, text)], "query_id string, query string")
+
+
+def _bm25(spark: SparkSession, d: str) -> Bm25Tables:
+    return bm25_tables(_docs(spark, d), CONFIG)
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """A row per request; one that was sent twice counts once."""
+    first = F.min_by(F.struct("query", "page", "size"), "received_at").alias("r")
+    return table(spark, d, "search_requests").groupBy("request_id").agg(first).select("request_id", "r.query", "r.page", "r.size")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The supplied vector of each paper line, scaled to length one: the usable row of the least number of its id."""
+    rows = table(spark, d, "paper_vectors").where("size(embedding) = 64 and paper_id is not null").where(F.forall("embedding", lambda x: x.isNotNull()))
+    first = rows.where(norm(F.col("embedding")) > 0).groupBy("paper_id").agg(F.min_by("embedding", "vec_no").alias("embedding"))
+    unit = first.select(F.col("paper_id").alias("id"), l2_normalize(F.col("embedding")).alias("vector"))
+    return _docs(spark, d).select("shard_id", "doc_ord", "id").join(unit, "id").select("shard_id", "doc_ord", "vector", "id")
+
+
+@lru_cache(8)
+def _first_vector(spark: SparkSession, d: str) -> tuple[float, ...]:
+    """The stored vector of the first paper line that has one: a query vector for the examples."""
+    r = _vectors(spark, d).orderBy(shard_order(F.col("shard_id")), "doc_ord").select("vector").first()
+    return tuple(r.vector) if r else (0.0,) * 64
+
+
+# sources, projections, predicates
+
+
+@query
+def jsonl_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Papers as JSON lines, with a blank line for each missing title and a broken one for each missing abstract."""
+    papers = table(spark, d, "papers")
+    whole = F.to_json(F.struct("id", "title", "abstract", "authors", "pdf_url", "categories"))
+    value = F.when(F.col("title").isNull(), F.lit("   ")).when(F.col("abstract").isNull(), F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    return parse_lines(papers.select("line_no", value.alias("value"))).select("line_no", "id", "title", "abstract", "authors", "pdf_url", "categories")
+
+
+@query
+def line_count(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "papers")
+    return papers.agg(F.count("*").alias("lines"), (F.max("line_no") + 1).alias("total"), F.count_distinct("id").alias("ids"))
+
+
+@query
+def shard_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("line_no", "shard_id", "doc_ord")
+
+
+@query
+def shard_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).groupBy("shard_id").agg(F.count("*").alias("docs"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+@query
+def corpus_projection(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("line_no", "id", "title", "abstract", F.concat("title", F.lit(" "), "abstract").alias("text"), "pdf_url")
+
+
+@query
+def authors_normalize(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "papers").select("line_no", F.posexplode_outer(authors_list(F.col("authors"))).alias("at", "author"))
+    return found.select("line_no", F.coalesce(F.col("at") + 1, F.lit(0)).alias("at"), "author")
+
+
+@query
+def display_projection(spark: SparkSession, d: str) -> DataFrame:
+    return display(table(spark, d, "papers")).drop("authors")
+
+
+@query
+def pdf_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("line_no", F.coalesce("pdf_url", pdf_link(F.col("id"))).alias("pdf_url"))
+
+
+@query
+def category_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").where(has_category(F.col("categories"), "cs.L")).select("line_no", "id", "categories")
+
+
+@query
+def category_allow_list(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").where(in_categories(F.col("categories"), ["cs.IR", "cs.CL", "cs.DS"])).select("line_no", "id", "categories")
+
+
+@query
+def category_cap(spark: SparkSession, d: str) -> DataFrame:
+    papers, caps = tables(spark, d, "papers", "category_caps")
+    return cap_categories(papers, caps).select("category", "in_category", "line_no", "id")
+
+
+@query
+def latex_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("line_no", latex_to_words(F.col("abstract")).alias("abstract"))
+
+
+@query
+def whitespace_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("line_no", squeeze(F.col("abstract")).alias("abstract"), strip(F.col("title")).alias("title"))
+
+
+@query
+def ascii_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("line_no", nfkd_ascii(F.col("title")).alias("title"), nfkd_ascii(F.col("authors")).alias("authors"))
+
+
+@query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    (papers,) = tables(spark, d, "papers")
-    return split_packed(papers, "line_no", "authors", value="author").select("line_no", "pos", "author")
+    return split_packed(table(spark, d, "papers"), "line_no", "authors", value="author").select("line_no", "pos", "author")
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p2_found(spark, d)
+@query
+def p2_dialects(spark: SparkSession, d: str) -> DataFrame:
+    found = split_packed(table(spark, d, "papers"), "line_no", "authors")
+    return found.groupBy("dialect").agg(F.count_distinct("line_no").alias("rows"), F.count("*").alias("values"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+# term statistics and BM25
+
+
+@query
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    return field_tokens(_docs(spark, d)).select("shard_id", "doc_ord", "field", F.size("tokens").alias("tokens"), F.size(F.array_distinct("tokens")).alias("distinct_tokens"))
+
+
+@query
+def term_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d).postings.select("shard_id", "field", "term", "doc_ord", "tf", "doc_len")
+
+
+@query
+def word_frequency_titles(spark: SparkSession, d: str) -> DataFrame:
+    return word_frequency(_docs(spark, d))
+
+
+@query
+def field_statistics(spark: SparkSession, d: str) -> DataFrame:
+    f = _bm25(spark, d).fields
+    return f.select("shard_id", "field", "n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+
+
+@query
+def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d).terms.select("shard_id", "field", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def query_term_counts(spark: SparkSession, d: str) -> DataFrame:
+    asked = _requests(spark, d).select(F.col("query").alias("query_id"), "query").where("query is not null").distinct()
+    return query_terms(asked)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+@query
+def bm25_field_scores(spark: SparkSession, d: str) -> DataFrame:
+    hits = bm25_hits(_bm25(spark, d), _one(spark), CONFIG)
+    return hits.select("shard_id", "doc_ord", "field", F.round("score", 6).alias("score"))
+
+
+def _scaled(spark: SparkSession, d: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    t = _bm25(spark, d)
+    return bm25_normalized(bm25_weighted(bm25_hits(t, asked, CONFIG), CONFIG), asked, t.fields)
+
+
+@query
+def bm25_weighted_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled(spark, d, _one(spark))[0].select("shard_id", "doc_ord", F.round("bm25", 6).alias("bm25"))
+
+
+@query
+def bm25_topk_per_shard(spark: SparkSession, d: str) -> DataFrame:
+    best = bm25_candidates(*_scaled(spark, d, _one(spark)), CONFIG.bm25_per_shard)
+    return best.select("shard_id", "place", "doc_ord", F.round("bm25", 6).alias("bm25"))
+
+
+def bm25_global_topk(spark: SparkSession, d: str) -> DataFrame:
+    best = bm25_candidates(*_scaled(spark, d, _one(spark)), CONFIG.bm25_per_shard)
+    top = best.orderBy(F.desc(F.round("bm25", 9)), shard_order(F.col("shard_id")), "doc_ord").limit(CONFIG.page_size)
+    return top.join(_docs(spark, d), ["shard_id", "doc_ord"]).select("line_no", "id", "title", "abstract", F.round("bm25", 6).alias("score"))
+
+
+QUERIES["bm25_global_topk"] = bm25_global_topk
+
+
+# vectors
+
+
+@query
+def l2_norms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "paper_vectors").where("embedding is not null")
+    return rows.select("vec_no", F.posexplode(l2_normalize(F.col("embedding"))).alias("place", "x")).select("vec_no", "place", F.round("x", 6).alias("x"))
+
+
+@query
+def knn_exact_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Each shard's 50 nearest to one query vector, by unrolled distance in generated code."""
+    from pyspark.sql import Window
+
+    near = _vectors(spark, d).withColumn("distance", F.round(squared_distance(F.col("vector"), _first_vector(spark, d)), 9))
+    place = F.row_number().over(Window.partitionBy("shard_id").orderBy("distance", "doc_ord"))
+    best = near.withColumn("place", place).where(F.col("place") <= CONFIG.vectors_per_shard)
+    return best.select("shard_id", "place", "doc_ord", F.round("distance", 6).alias("distance"), F.round(similarity_of_distance(F.col("distance")), 6).alias("similarity"))
+
+
+@query
+def similar_topk(spark: SparkSession, d: str) -> DataFrame:
+    """All similar-paper requests at once; one that was sent twice counts once."""
+    first = F.min_by(F.struct("paper_id", "top_k"), "received_at").alias("r")
+    asked = table(spark, d, "similar_requests").groupBy("request_id").agg(first).select(F.col("request_id").alias("query_id"), "r.paper_id", F.col("r.top_k").alias("k"))
+    vectors = _vectors(spark, d).drop("id")
+    index = ops.Index(_docs(spark, d), None, vectors)
+    return ops.similar(index, asked, CONFIG).select(F.col("query_id").alias("request_id"), "place", "id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate variant: cells of each shard, the four nearest of them probed."""
+    near = CellIndex(_vectors(spark, d).drop("id"), CONFIG).search(_first_vector(spark, d), 10, probes=4)
+    return near.select("shard_id", "place", "doc_ord", F.round("distance", 6).alias("distance"))
+
+
+@query
+def embed_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("line_no", F.concat("title", F.lit(" "), "abstract").alias("text"))
+    return embed(docs, "text").select("line_no", F.posexplode("vector").alias("place", "x")).where("x <> 0").select("line_no", "place", F.round("x", 6).alias("x"))
+
+
+# hybrid search
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    index = build_index(table(spark, d, "papers"), CONFIG)
+    return ops.fuse(index, _one(spark), embed(_one(spark), "query"), CONFIG)
+
+
+@query
+def candidate_union(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select("shard_id", "doc_ord")
+
+
+@query
+def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return ops.shortlist(_fused(spark, d), CONFIG).select("place", "shard_id", "doc_ord", F.round("bm25", 6).alias("bm25"), F.round("similarity", 6).alias("similarity"), F.round("fused", 6).alias("fused"))
+
+
+@query
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of one query, spelling as typed."""
+    asked = spark.createDataFrame([(0, QUERY, 2, 10)], "request_id int, query string, page int, size int")
+    found = search_many(build_index(table(spark, d, "papers"), CONFIG), asked, CONFIG)
+    return found.select("rank", "line_no", "id", "title", "abstract", F.round("score", 6).alias("score"))
+
+
+@query
+def search_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All search requests at once, each distinct query run once, pages clamped."""
+    found = search_many(build_index(table(spark, d, "papers"), CONFIG), _requests(spark, d), CONFIG)
+    return found.select("request_id", "rank", "line_no", F.round("score", 6).alias("score"))
+
+
+@query
+def paging_clamp(spark: SparkSession, d: str) -> DataFrame:
+    page, size = ops.page_bounds(F.col("page"), F.col("size"), CONFIG)
+    return _requests(spark, d).select("request_id", page.alias("page"), size.alias("size"), ((page - 1) * size).alias("skipped"))
+
+
+# spelling and suggestions
+
+
+@query
+def spell_lookup_top(spark: SparkSession, d: str) -> DataFrame:
+    asked = _requests(spark, d).select(F.explode(words(F.col("query"))).alias("term")).distinct()
+    return lookup(asked, word_frequency(_docs(spark, d)), CONFIG.max_edit_distance)
+
+
+@query
+def spell_compound(spark: SparkSession, d: str) -> DataFrame:
+    asked = _requests(spark, d).where(F.col("query").rlike(r"\S")).select("query").distinct().withColumn("query_id", F.col("query"))
+    return correct(asked, word_frequency(_docs(spark, d)), CONFIG).select("query", "corrected")
+
+
+@query
+def search_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """All search requests, spelling-corrected first."""
+    index = build_index(table(spark, d, "papers"), CONFIG)
+    found = search_many(index, _requests(spark, d), CONFIG, dictionary=word_frequency(index.docs))
+    return found.select("request_id", "rank", "line_no", F.round("score", 6).alias("score"))
+
+
+@query
+def autocomplete_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for the first three letters of every query and for every query as typed."""
+    asked = _requests(spark, d).select(F.explode(F.array(F.substring("query", 1, 3), F.col("query"))).alias("typed"))
+    return autocomplete_many(_docs(spark, d), asked, CONFIG)
+
+
+@query
+def autocomplete_corrected(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return autocomplete_many(docs, _requests(spark, d).select(F.col("query").alias("typed")), CONFIG, word_frequency(docs))
+
+
+# streaming
+
+
+@query
+def stream_request_windows(spark: SparkSession, d: str) -> DataFrame:
+    counted = run_to_table(request_windows(stream_table(spark, f"{d}/search_requests.parquet")))
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_global_topk(spark, d)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
