@@ -56,7 +56,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.neardup import NearDupOptions, row_pairs
 
     (papers,) = tables(spark, d, "papers")
-    return row_pairs(papers, "line_no", ["title", "abstract"], NearDupOptions(shingle=3, similarity=0.6, min_words=20, groups=8)).toDF("line_no_a", "line_no_b")
+    return row_pairs(papers, "line_no", ["title", "abstract"], NearDupOptions(shingle=3, similarity=0.6, min_words=20, groups=12)).toDF("line_no_a", "line_no_b")
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -149,5 +149,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": WORDS_SQL.format(papers="papers") + "select field, term, case when records <= 2 then 'rare' else 'common' end as band from counts where records <= 2 or records > 0.2 * (select count(*) from papers)",
         "p1_counts": WORDS_SQL.format(papers="papers") + "select * from counts",
+        "p5_found": """
+            with texts as (select line_no, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}_]+') as ws from papers),
+            runs as (select distinct line_no, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as run from texts where len(ws) >= 20),
+            sizes as (select line_no, count(*) as n from runs group by line_no),
+            common as (select a.line_no as line_no_a, b.line_no as line_no_b, count(*) as c from runs a join runs b using (run) where a.line_no < b.line_no group by all)
+            select line_no_a, line_no_b from common join sizes x on x.line_no = line_no_a join sizes y on y.line_no = line_no_b where c >= 0.6 * (x.n + y.n - c)""",
         "p1_revised": WORDS_SQL.format(papers=LATEST_SQL) + "select * from counts",
     }
