@@ -35,7 +35,7 @@ def dense_positions(df: DataFrame, group: str, order: str, name: str, block: int
 def authors_list(authors: Column) -> Column:
     """A list stays a list, a single value becomes a list of one, null an empty list."""
     trimmed = strip(authors)
-    listed = F.from_json(trimmed, "array<string>")
+    listed = F.from_json(trimmed, "array<string>", {"allowSingleQuotes": "false"})
     return F.when(authors.isNull(), F.array().cast("array<string>")).when(trimmed.startswith("[") & listed.isNotNull(), listed).otherwise(F.array(authors))
 
 

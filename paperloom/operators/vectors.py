@@ -82,7 +82,7 @@ def nearest_per_shard(vectors: DataFrame, queries: DataFrame, k: int, block: int
     parts = []
     for at in range(0, max(1, len(rows)), block):
         ids = [r[0] for r in rows[at : at + block]]
-        held = spark.sparkContext.broadcast(np.array([r[1] for r in rows[at : at + block]], np.float64).reshape(len(ids), -1))
+        held = spark.sparkContext.broadcast(np.array([r[1] for r in rows[at : at + block]], np.float64).reshape(len(ids), len(rows[0][1]) if rows else 0))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, ids=ids) -> Iterator[pa.RecordBatch]:
             q = held.value

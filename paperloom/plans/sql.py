@@ -100,6 +100,9 @@ QUERY_SQL: dict[str, str] = {
     "shard_assignment": f"with {CORPUS} select line_no, shard_id, doc_ord from docs",
     "shard_sizes": f"with {CORPUS} select shard_id, count(*) as docs, min(line_no) as first_line, max(line_no) as last_line from docs group by shard_id",
     "corpus_projection": f"with {CORPUS} select line_no, id, title, abstract, title || ' ' || abstract as text, pdf_url from docs",
+    "authors_normalize": f"""with a as (select line_no, authors, {strip('authors')} as t from papers),
+        l as (select line_no, case when authors is null then [] when starts_with(t, '[') and json_valid(t) then from_json(t, '["VARCHAR"]') else [authors] end as names from a)
+        select line_no, unnest(range(1, len(names) + 1))::int as "at", unnest(names) as author from l union all select line_no, 0, null from l where len(names) = 0""",
     "display_projection": f"""select line_no, id, coalesce(nullif({strip('title')}, ''), 'Untitled') as title, coalesce(nullif({strip('abstract')}, ''), 'No abstract available') as "abstractText",
         'https://arxiv.org/pdf/' || id || '.pdf' as pdf_url, strftime(updated_at, '%Y-%m-%d') as "updateDate" from papers""",
     "pdf_links": "select line_no, coalesce(pdf_url, 'https://arxiv.org/pdf/' || id || '.pdf') as pdf_url from papers",
