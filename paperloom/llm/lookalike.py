@@ -5,8 +5,8 @@ presentation ligatures and no-break forms their plain characters, and letters of
 their Latin twins, and composes each base letter with its ordered accents. Case, accents, digits, signs and line
 breaks stay, as do characters that merely resemble each other (``l``/``1``, ``O``/``0``, superscripts, fractions).
 
-ASCII text is its own form. Of all other texts, the *clusters* (runs of non-ASCII characters with the character
-they follow) are the only parts that can change. The distinct clusters of the whole corpus are exploded to
+ASCII text is its own form. Of all other texts, the *clusters* (a character with the marks and invisible characters that
+follow it, where any of them is beyond ASCII) are the only parts that can change. The distinct clusters of the whole corpus are exploded to
 positioned code points; decomposition, combining class and look-alike tables are broadcast to them (they hold some 13,000
 code points, fixed by the Unicode version); combining marks are ordered by class within their base; bases and marks are
 recomposed pair by pair; and the clusters are rebuilt. Texts then replace each cluster by its form: where the
@@ -43,8 +43,6 @@ TWINS = (
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 #: Compatibility characters that look like their decomposition: ligatures, dot leaders, Roman numerals, digraphs.
 SAME_LOOK = [*range(0xFB00, 0xFB07), *range(0x2024, 0x2027), *range(0x2160, 0x2180), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4)]
-CLUSTER = r"[\x00-\x7F]?[^\x00-\x7F]+"
-PIECE = r"[\x00-\x7F](?:[^\x00-\x7F])+|[\x00-\x7F]+(?![^\x00-\x7F])|[^\x00-\x7F]+"
 
 
 @lru_cache(1)
@@ -93,23 +91,44 @@ def _tables() -> tuple[list[tuple[str, list[str]]], list[tuple[str, int]], list[
     return made_of, classes, pairs
 
 
+@lru_cache(2)
+def _patterns(java: bool) -> tuple[str, str]:
+    """A cluster, and a piece of a text (a cluster or a run of ASCII that no cluster begins in), as regular expressions."""
+    made_of, classes, _ = _tables()
+    joined = {c for c, _ in classes}
+    joined |= {c for c, parts in made_of if not parts or parts[0] in joined}
+    joined |= {chr(k) for k in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(k)) in ("Mn", "Mc", "Me", "Cf")}
+    ranges: list[list[int]] = []
+    for k in sorted(map(ord, joined)):
+        if ranges and ranges[-1][1] == k - 1:
+            ranges[-1][1] = k
+        else:
+            ranges.append([k, k])
+    code = (lambda k: f"\\x{{{k:X}}}") if java else (lambda k: f"\\U{k:08X}")
+    follows = "[" + "".join(code(a) + (f"-{code(b)}" if b > a else "") for a, b in ranges) + "]"
+    cluster = rf"[\x00-\x7F]{follows}+|[^\x00-\x7F]{follows}*"
+    return cluster, rf"{cluster}|[\x00-\x7F]+(?!{follows})"
+
+
 def cluster_forms(clusters: DataFrame) -> DataFrame:
     """``(cluster, form)`` for each distinct string ``cluster``, by relational steps on code points."""
     spark = clusters.sparkSession
     made_of, classes, pairs = _tables()
+    # rows carry a number, not the cluster, so that one of any length stays linear
+    named = materialize(clusters.select("cluster", F.monotonically_increasing_id().alias("cid")), "clusters")
     parts_of = F.broadcast(spark.createDataFrame(made_of, "cp string, made array<string>"))
     class_of = F.broadcast(spark.createDataFrame(classes, "part string, ccc int"))
     composed = F.broadcast(spark.createDataFrame(pairs, "cur string, mark string, whole string"))
     # text to positioned code points, each replaced by what it is made of
-    points = clusters.select("cluster", F.posexplode(F.split("cluster", "")).alias("pos", "cp")).where("cp <> ''")
-    points = points.join(parts_of, "cp", "left").select("cluster", "pos", F.posexplode(F.coalesce("made", F.array("cp"))).alias("sub", "part"))
-    by_place = Window.partitionBy("cluster").orderBy("pos", "sub")
+    points = named.select("cid", F.posexplode(F.split("cluster", "")).alias("pos", "cp")).where("cp <> ''")
+    points = points.join(parts_of, "cp", "left").select("cid", "pos", F.posexplode(F.coalesce("made", F.array("cp"))).alias("sub", "part"))
+    by_place = Window.partitionBy("cid").orderBy("pos", "sub")
     after_jamo = F.coalesce(F.lag("part").over(by_place).between("\u1100", "\u11ff"), F.lit(False))
     points = points.join(class_of, "part", "left").withColumn("ccc", F.when((F.col("ccc") == -1) & ~after_jamo, 0).otherwise(F.coalesce("ccc", F.lit(0))))
     # marks belong to the last base before them; ordered by class, then by place
     points = points.withColumn("base", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(by_place)).withColumn("n", F.row_number().over(by_place))
     letter = F.struct(F.when(F.col("ccc") == 0, -2).otherwise(F.col("ccc")).alias("ccc"), "n", "part")
-    bases = materialize(points.groupBy("cluster", "base").agg(F.sort_array(F.collect_list(letter)).alias("l")).select("cluster", "base", F.transform("l", lambda x: F.struct(x["part"].alias("part"), x["ccc"].alias("ccc"))).alias("l")), "bases")
+    bases = materialize(points.groupBy("cid", "base").agg(F.sort_array(F.collect_list(letter)).alias("l")).select("cid", "base", F.transform("l", lambda x: F.struct(x["part"].alias("part"), x["ccc"].alias("ccc"))).alias("l")), "bases")
     # recomposition, one mark at a time, of the distinct sequences that have marks
     todo = bases.where(F.size("l") > 1).select("l").distinct().select("l", F.get("l", F.lit(0))["part"].alias("cur"), F.slice("l", 2, 1_000_000).alias("marks"))
     rounds = 3  # no composed character holds more than three marks
@@ -123,13 +142,13 @@ def cluster_forms(clusters: DataFrame) -> DataFrame:
             F.when(F.col("hit").isNull(), F.col("marks")).otherwise(F.filter("marks", lambda m, i: i != F.col("hit.i"))).alias("marks"),
         )
     done = todo.select("l", F.concat(F.col("cur"), F.array_join(F.transform("marks", lambda m: m["part"]), "")).alias("s"))
-    rebuilt = bases.join(done, "l", "left").select("cluster", "base", F.coalesce("s", F.array_join(F.transform("l", lambda x: x["part"]), "")).alias("s"))
-    forms = rebuilt.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", "s"))), lambda x: x["s"]), "").alias("form"))
-    return clusters.join(forms, "cluster", "left").select("cluster", F.coalesce("form", F.lit("")).alias("form"))
+    rebuilt = bases.join(done, "l", "left").select("cid", "base", F.coalesce("s", F.array_join(F.transform("l", lambda x: x["part"]), "")).alias("s"))
+    forms = rebuilt.groupBy("cid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", "s"))), lambda x: x["s"]), "").alias("form"))
+    return named.join(forms, "cid", "left").select("cluster", F.coalesce("form", F.lit("")).alias("form"))
 
 
 def _replace(batches: Iterator[pa.RecordBatch], forms: dict[str, str], at: int) -> Iterator[pa.RecordBatch]:
-    pattern = re.compile(CLUSTER)
+    pattern = re.compile(_patterns(False)[0])
     swap = lambda m: forms.get(m[0], m[0])
     for batch in batches:
         texts = [t if t is None or t.isascii() else pattern.sub(swap, t) for t in batch.column(at).to_pylist()]
@@ -141,16 +160,17 @@ def consistent_form(df: DataFrame, key: str, text: str, form: str = "form", broa
     """``(key, form)`` of every row."""
     spark: SparkSession = df.sparkSession
     source = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    cluster, piece = _patterns(True)
     other = F.col("t").rlike(r"[^\x00-\x7F]")
-    clusters = source.where(other).select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"({CLUSTER})"), F.lit(1)))).alias("cluster")).distinct()
-    forms = materialize(cluster_forms(materialize(clusters, "clusters")).where("cluster <> form"), "cluster-forms")
+    clusters = source.where(other).select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"({cluster})"), F.lit(1)))).alias("cluster")).distinct()
+    forms = materialize(cluster_forms(clusters).where("cluster <> form"), "cluster-forms")
     size = forms.agg(F.count("*").alias("n"), F.sum(F.octet_length("cluster") + F.octet_length("form")).alias("b")).first()
     if (size.b or 0) + 150 * size.n <= broadcast_bytes:
         mapping = {r.cluster: r.form for r in forms.toLocalIterator()}
         return source.mapInArrow(lambda it: _replace(it, mapping, 1), source.schema).toDF(key, form)
     numbered = source.withColumn("row", F.monotonically_increasing_id())
     numbered = materialize(numbered, "form-source")
-    pieces = numbered.where(other).select("row", F.posexplode(F.regexp_extract_all("t", F.lit(f"({PIECE})"), F.lit(1))).alias("pos", "cluster"))
+    pieces = numbered.where(other).select("row", F.posexplode(F.regexp_extract_all("t", F.lit(f"({piece})"), F.lit(1))).alias("pos", "cluster"))
     pieces = pieces.join(forms, "cluster", "left").select("row", "pos", F.coalesce("form", "cluster").alias("s"))
     whole = pieces.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("f"))
     return numbered.join(whole, "row", "left").select(F.col("k").alias(key), F.when(other, F.col("f")).otherwise(F.col("t")).alias(form))

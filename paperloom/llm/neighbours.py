@@ -129,12 +129,6 @@ def unit_vectors(vectors: DataFrame, key: str, order: str, embedding: str, dim:
     return vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{order}`").alias("o"), F.col(f"`{embedding}`").cast("array<float>").alias("e")).mapInArrow(run, f"id {types[0]}, o {types[1]}, v binary")
 
 
-def _best(rows: pd.DataFrame, k: pd.Series | None = None) -> pd.DataFrame:
-    rows = rows.sort_values(["q", "s", "id"], ascending=[True, False, True], kind="stable")
-    place = rows.groupby("q", sort=False).cumcount()
-    return rows[place < (rows["k"] if k is None else k)]
-
-
 @dataclass
 class Index:
     """The collection laid out by leaf, and what calibration found."""
@@ -259,7 +253,7 @@ def search(index: Index, asked: DataFrame) -> DataFrame:
     routed = asked.select("id", "k", "v").mapInArrow(route, f"bucket int, q {id_type}, k int, v binary, leaves array<int>")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": [], "id": [], "s": [], "k": []})
+        empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("q", object), ("id", object), ("s", float), ("k", "int32"))})
         if not len(left) or not len(right):
             return empty
         left = left.sort_values(["leaf", "id", "o"]).drop_duplicates(["leaf", "id"]).reset_index(drop=True)
