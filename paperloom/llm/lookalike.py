@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.runtime import materialize
@@ -91,9 +91,9 @@ def _tables() -> tuple[list[tuple[str, list[str]]], list[tuple[str, int]], list[
     return made_of, classes, pairs
 
 
-@lru_cache(2)
-def _patterns(java: bool) -> tuple[str, str]:
-    """A cluster, and a piece of a text (a cluster or a run of ASCII that no cluster begins in), as regular expressions."""
+@lru_cache(1)
+def _followers() -> str:
+    """A character class of all that belongs to the character before it: marks, invisible characters, Korean vowels and finals."""
     made_of, classes, _ = _tables()
     joined = {c for c, _ in classes}
     joined |= {c for c, parts in made_of if not parts or parts[0] in joined}
@@ -104,10 +104,35 @@ def _patterns(java: bool) -> tuple[str, str]:
             ranges[-1][1] = k
         else:
             ranges.append([k, k])
-    code = (lambda k: f"\\x{{{k:X}}}") if java else (lambda k: f"\\U{k:08X}")
-    follows = "[" + "".join(code(a) + (f"-{code(b)}" if b > a else "") for a, b in ranges) + "]"
-    cluster = rf"[\x00-\x7F]{follows}+|[^\x00-\x7F]{follows}*"
-    return cluster, rf"{cluster}|[\x00-\x7F]+(?!{follows})"
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges) + "]"
+
+
+class _Clusters:
+    """Finds and replaces clusters. Texts without any follower, most of them, have single characters only."""
+
+    def __init__(self, followers: str):
+        self.follower = re.compile(followers)
+        self.cluster = re.compile(rf"[\x00-\x7F]{followers}+|[^\x00-\x7F]{followers}*")
+        self.run = re.compile(r"[^\x00-\x7F]+")
+
+    def find(self, text: str | None) -> set[str]:
+        if text is None or text.isascii():
+            return set()
+        return set(self.cluster.findall(text)) if self.follower.search(text) else {c for c in set(text) if c > "\x7f"}
+
+    def replace(self, text: str | None, forms: dict[str, str]) -> str | None:
+        if text is None or text.isascii():
+            return text
+        if self.follower.search(text):
+            return self.cluster.sub(lambda m: forms.get(m[0], m[0]), text)
+        return self.run.sub(lambda m: "".join([forms.get(c, c) for c in m[0]]), text)
+
+    def pieces(self, text: str) -> list[str]:
+        out, at = [], 0
+        for m in self.cluster.finditer(text):
+            out += [text[at : m.start()], m[0]] if at < m.start() else [m[0]]
+            at = m.end()
+        return [*out, text[at:]] if at < len(text) else out
 
 
 def cluster_forms(clusters: DataFrame) -> DataFrame:
@@ -147,33 +172,52 @@ def cluster_forms(clusters: DataFrame) -> DataFrame:
     return named.join(forms, "cid", "left").select("cluster", F.coalesce("form", F.lit("")).alias("form"))
 
 
-def _replace(batches: Iterator[pa.RecordBatch], forms: dict[str, str], at: int) -> Iterator[pa.RecordBatch]:
-    pattern = re.compile(_patterns(False)[0])
-    swap = lambda m: forms.get(m[0], m[0])
-    for batch in batches:
-        texts = [t if t is None or t.isascii() else pattern.sub(swap, t) for t in batch.column(at).to_pylist()]
-        columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+def with_forms(df: DataFrame, text: str, carried: dict[str, Column], form: str = "form", broadcast_bytes: int = 48 << 20) -> DataFrame:
+    """``form`` of every row's text, with the ``carried`` columns by their new names."""
+    source = df.select(F.col(f"`{text}`").cast("string").alias(form), *[c.alias(name) for name, c in carried.items()])
+    followers = _followers()
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clusters, seen = _Clusters(followers), set()
+        for batch in batches:
+            new = {c for t in batch.column(0).to_pylist() for c in clusters.find(t)} - seen
+            seen |= new
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["cluster"])
 
-def consistent_form(df: DataFrame, key: str, text: str, form: str = "form", broadcast_bytes: int = 48 << 20) -> DataFrame:
-    """``(key, form)`` of every row."""
-    spark: SparkSession = df.sparkSession
-    source = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    cluster, piece = _patterns(True)
-    other = F.col("t").rlike(r"[^\x00-\x7F]")
-    clusters = source.where(other).select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"({cluster})"), F.lit(1)))).alias("cluster")).distinct()
+    other = F.col(form).rlike(r"[^\x00-\x7F]")
+    clusters = source.where(other).select(form).mapInArrow(find, "cluster string").distinct()
     forms = materialize(cluster_forms(clusters).where("cluster <> form"), "cluster-forms")
     size = forms.agg(F.count("*").alias("n"), F.sum(F.octet_length("cluster") + F.octet_length("form")).alias("b")).first()
     if (size.b or 0) + 150 * size.n <= broadcast_bytes:
         mapping = {r.cluster: r.form for r in forms.toLocalIterator()}
-        return source.mapInArrow(lambda it: _replace(it, mapping, 1), source.schema).toDF(key, form)
-    numbered = source.withColumn("row", F.monotonically_increasing_id())
-    numbered = materialize(numbered, "form-source")
-    pieces = numbered.where(other).select("row", F.posexplode(F.regexp_extract_all("t", F.lit(f"({piece})"), F.lit(1))).alias("pos", "cluster"))
-    pieces = pieces.join(forms, "cluster", "left").select("row", "pos", F.coalesce("form", "cluster").alias("s"))
-    whole = pieces.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("f"))
-    return numbered.join(whole, "row", "left").select(F.col("k").alias(key), F.when(other, F.col("f")).otherwise(F.col("t")).alias(form))
+
+        def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            clusters = _Clusters(followers)
+            for batch in batches:
+                texts = [clusters.replace(t, mapping) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=batch.schema.names)
+
+        return source.mapInArrow(replace, source.schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clusters = _Clusters(followers)
+        for batch in batches:
+            lists = [clusters.pieces(t) for t in batch.column(1).to_pylist()]
+            rows = pa.array([i for i, x in enumerate(lists) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for x in lists for i in range(len(x))], pa.int32()), pa.array([p for x in lists for p in x], pa.string())], names=["_row", "pos", "cluster"])
+
+    numbered = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "form-source")
+    pieces = numbered.where(other).select("_row", form).mapInArrow(cut, "_row bigint, pos int, cluster string")
+    pieces = pieces.join(forms.withColumnRenamed("form", "_s"), "cluster", "left").select("_row", "pos", F.coalesce("_s", "cluster").alias("s"))
+    whole = pieces.groupBy("_row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("_f"))
+    return numbered.join(whole, "_row", "left").select(F.when(other, F.col("_f")).otherwise(F.col(form)).alias(form), *carried)
+
+
+def consistent_form(df: DataFrame, key: str, text: str, form: str = "form", broadcast_bytes: int = 48 << 20) -> DataFrame:
+    """``(key, form)`` of every row."""
+    return with_forms(df, text, {key: F.col(f"`{key}`")}, form, broadcast_bytes).select(key, form)
 
 
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -182,10 +226,10 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Copies of one text are one class: classes are matched by form first, and rows are brought in only for
     classes that have a partner.
     """
-    two = F.struct(F.xxhash64("form"), F.crc32(F.col("form").cast("binary")), F.length("form"))
-    formed = consistent_form(df, key, text).where("form <> ''").select(F.col(key).alias("k"), two.alias("h"))
-    exact = df.select(F.col(f"`{key}`").alias("k"), F.struct(F.xxhash64(text), F.crc32(F.col(f"`{text}`").cast("binary")), F.length(text)).alias("x")).where(f"`{text}` <> ''")
-    rows = materialize(formed.join(exact, "k"), "lookalike-rows")
+    hashed = lambda c: F.struct(F.xxhash64(c), F.crc32(c.cast("binary")), F.length(c))
+    t = F.col(f"`{text}`").cast("string")
+    formed = with_forms(df.where(t != ""), text, {"k": F.col(f"`{key}`"), "x": hashed(t)})
+    rows = materialize(formed.where("form <> ''").select("k", "x", hashed(F.col("form")).alias("h")), "lookalike-rows")
     mixed = rows.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h")
     kept = materialize(rows.join(mixed, "h"), "lookalike-mixed")
     right = kept.select("h", F.col("x").alias("y"), F.col("k").alias("b"))
