@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom.config import SearchConfig
+from paperloom.runtime import materialize
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 WORD = re.compile(r"\w+")
@@ -123,20 +125,28 @@ class CellIndex:
     """An inverted file per shard: k-means cells on the shard's first rows, and every row with its cell."""
 
     def __init__(self, vectors: DataFrame, config: SearchConfig = SearchConfig(), seed: int = 1, train_cap: int = 20_000):
-        """``train_cap`` bounds the rows a shard's cells are fitted on; all rows are indexed."""
+        """``train_cap`` bounds the rows a shard's cells are fitted on, its first ones; all rows are indexed."""
         self.config = config
+        vectors = materialize(vectors.select("shard_id", "doc_ord", "vector").where("vector is not null"), "cell-vectors")
         counts = {r.shard_id: r.n for r in vectors.groupBy("shard_id").agg(F.count("*").alias("n")).collect()}  # a row per shard
-        self.centres: dict[int, np.ndarray] = {}
-        rng = np.random.default_rng(seed)
-        for s, n in sorted(counts.items()):
+
+        def train(f: pd.DataFrame) -> pd.DataFrame:
+            s = int(f["shard_id"].iloc[0])
+            n = counts[s]
             cells = min(cells_of(n), n)
-            most = min(n, max(40 * cells, 50_000), train_cap)
-            x = np.array([r.vector for r in vectors.where((F.col("shard_id") == s) & (F.col("doc_ord") < most)).select("vector").limit(most).collect()], np.float64)
-            c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+            x = np.stack(f.nsmallest(min(n, max(40 * cells, 50_000), train_cap), "doc_ord")["vector"].to_list()).astype(np.float64)
+            c = x[np.random.default_rng(seed + s).choice(len(x), min(cells, len(x)), replace=False)]
             for _ in range(10):
                 at = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
                 c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
-            self.centres[s] = c
+            return pd.DataFrame({"shard_id": s, "cell": range(len(c)), "centre": list(c)})
+
+        # positions are dense, so this bounds the rows of a shard that training sees
+        first = vectors.where(F.col("doc_ord") < 4 * train_cap).select("shard_id", "doc_ord", "vector")
+        self.centres: dict[int, np.ndarray] = {}
+        for r in first.groupBy("shard_id").applyInPandas(train, "shard_id int, cell int, centre array<double>").orderBy("shard_id", "cell").collect():  # at most 4096 rows a shard
+            self.centres.setdefault(r.shard_id, []).append(r.centre)
+        self.centres = {s: np.array(c) for s, c in self.centres.items()}
         centres = self.centres
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

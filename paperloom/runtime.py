@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Intermediate tables of this process. They may be needed until the results that read them are, so only ``clean`` or the end removes them.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 @atexit.register
 def _clean() -> None:
-    for path in _LOCAL:
+    for path in [*_LOCAL, *(p.removeprefix("file://") for p in _MADE if p.startswith("file:///"))]:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes the intermediate tables made so far, on any file system; returns their number. Results that read them must have been used."""
+    made, _MADE[:] = list(_MADE), []
+    for path in made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(made)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table; no two calls share one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
