@@ -13,7 +13,7 @@ from paperloom.functions.text import strip, title_and_abstract, words
 from paperloom.functions.vector import similarity_of_distance
 from paperloom.operators.bm25 import Bm25Tables, bm25_candidates, bm25_hits, bm25_normalized, bm25_weighted
 from paperloom.operators.corpus import shard_order
-from paperloom.operators.vectors import nearest_per_shard
+from paperloom.operators.vectors import CellIndex, nearest_per_shard
 
 Reranker = Callable[[Column, Column, Column], Column]
 
@@ -25,6 +25,13 @@ class Index:
     docs: DataFrame
     bm25: Bm25Tables
     vectors: DataFrame
+    cells: CellIndex | None = None
+
+    def nearest(self, queries: DataFrame, k: int, config: SearchConfig) -> DataFrame:
+        """Exact, or by the cells where the configuration allows it and the index has them."""
+        if self.cells is not None and not config.exact_vectors:
+            return self.cells.search_many(queries, k, config.probes)
+        return nearest_per_shard(self.vectors, queries, k, config.query_block)
 
 
 def lexical_reranker(query: Column, title: Column, abstract: Column) -> Column:
@@ -44,7 +51,7 @@ def fuse(index: Index, queries: DataFrame, query_vectors: DataFrame, config: Sea
     hits = bm25_hits(index.bm25, queries, config)
     scaled, every = bm25_normalized(bm25_weighted(hits, config), queries, index.bm25.fields)
     by_words = bm25_candidates(scaled, every, config.bm25_per_shard).select("query_id", "shard_id", "doc_ord")
-    near = nearest_per_shard(index.vectors, query_vectors, config.vectors_per_shard, config.query_block)
+    near = index.nearest(query_vectors, config.vectors_per_shard, config)
     key = ["query_id", "shard_id", "doc_ord"]
     by_vector = near.select(*key, similarity_of_distance(F.col("distance")).alias("similarity"))
     both = by_words.unionByName(by_vector.select(*key)).distinct()
@@ -94,7 +101,7 @@ def similar(index: Index, wanted: DataFrame, config: SearchConfig = SearchConfig
     held = index.docs.select(*key, "id").join(asked.withColumnRenamed("paper_id", "id"), "id").join(index.vectors, key)
     target = held.groupBy("id").agg(F.min_by("vector", F.struct(shard_order(F.col("shard_id")).alias("s"), "doc_ord")).alias("vector"))
     most = asked.agg(F.max("most")).first()[0] or 0
-    near = nearest_per_shard(index.vectors, target.select(F.col("id").alias("query_id"), "vector"), most + 1, config.query_block)
+    near = index.nearest(target.select(F.col("id").alias("query_id"), "vector"), most + 1, config)
     named = near.join(index.docs.select(*key, "id"), key).where("id is distinct from query_id")
     per = wanted.where("k > 0").select("query_id", F.col("paper_id").alias("target"), F.col("k").cast("int").alias("k"))
     own = named.withColumnRenamed("query_id", "target").join(per, "target").where(F.col("place") <= F.col("k") + 1)

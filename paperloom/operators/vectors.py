@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -163,11 +163,50 @@ class CellIndex:
         self.rows = kept.mapInArrow(assign, T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType())]))
 
     def search(self, query: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
-        """``(shard_id, doc_ord, distance)``: each shard's k nearest in its ``probes`` nearest cells; fewer if those hold fewer."""
-        q = np.asarray(query, np.float64)
-        wanted = [(int(s), int(c)) for s, cs in self.centres.items() for c in np.argsort(((cs - q) ** 2).sum(1), kind="stable")[: probes or self.config.probes]]
+        """``(shard_id, doc_ord, distance, place)`` for one query vector."""
+        one = self.rows.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, vector array<double>")
+        return self.search_many(one, k, probes).drop("query_id")
+
+    def search_many(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """``(query_id, shard_id, doc_ord, distance, place)``: each shard's k nearest in its ``probes`` nearest cells; fewer if those hold fewer.
+
+        Queries and rows meet by an equality join on shard and cell, so only probed cells are read.
+        """
+        centres, probes = self.centres, probes or self.config.probes
+        id_field = queries.schema["query_id"]
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows, shards, cells = [], [], []
+                if b.num_rows:
+                    q = _stack(b.column(1))
+                    for s, c in centres.items():
+                        near = np.argsort((c**2).sum(1)[None, :] - 2 * q @ c.T, 1, kind="stable")[:, :probes]
+                        rows.append(np.repeat(np.arange(len(q)), near.shape[1]))
+                        shards.append(np.full(near.size, s, np.int32))
+                        cells.append(near.ravel().astype(np.int32))
+                at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int32)) for x in (shards, cells))], names=["query_id", "q", "shard_id", "cell"])
+
+        schema = T.StructType([id_field, T.StructField("q", T.ArrayType(T.DoubleType())), T.StructField("shard_id", T.IntegerType()), T.StructField("cell", T.IntegerType())])
+        probed = queries.select("query_id", "vector").where("vector is not null").mapInArrow(probe, schema)
+        gap = F.aggregate(F.zip_with("vector", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+        near = self.rows.join(probed, ["shard_id", "cell"]).select("query_id", "shard_id", "doc_ord", F.round(gap, 9).alias("distance"))
+        best = Window.partitionBy("query_id", "shard_id").orderBy("distance", "doc_ord")
+        return near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+    def save(self, path: str) -> None:
+        """Centres and rows as parquet, rows partitioned by shard and sorted by cell, so that a probe reads few row groups."""
         spark = self.rows.sparkSession
-        cells = F.broadcast(spark.createDataFrame(wanted, "shard_id int, cell int"))  # probes rows a shard
-        inside = self.rows.join(cells, ["shard_id", "cell"]).drop("cell")
-        one = spark.createDataFrame([(0, [float(x) for x in q])], "query_id int, vector array<double>")
-        return nearest_per_shard(inside, one, k).drop("query_id")
+        table = [(s, k, [float(x) for x in c]) for s, cs in self.centres.items() for k, c in enumerate(cs)]
+        spark.createDataFrame(table, "shard_id int, cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        self.rows.repartition("shard_id").sortWithinPartitions("shard_id", "cell", "doc_ord").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, config: SearchConfig = SearchConfig()) -> CellIndex:
+        self = cls.__new__(cls)
+        self.config, self.rows, centres = config, spark.read.parquet(f"{path}/cells"), {}
+        for r in spark.read.parquet(f"{path}/centres").orderBy("shard_id", "cell").collect():  # at most 4096 rows a shard
+            centres.setdefault(r.shard_id, []).append(r.centre)
+        self.centres = {s: np.array(c) for s, c in centres.items()}
+        return self

@@ -16,7 +16,7 @@ from paperloom.operators.bm25 import bm25_tables
 from paperloom.operators.corpus import shard_corpus
 from paperloom.operators.spelling import correct, lookup, word_frequency
 from paperloom.operators.suggest import suggest, suggest_many, suggestion_table
-from paperloom.operators.vectors import Embedder, HashingEmbedder, embed
+from paperloom.operators.vectors import CellIndex, Embedder, HashingEmbedder, embed
 from paperloom.runtime import materialize
 from paperloom.sources.index_store import read_index, write_index
 
@@ -52,6 +52,8 @@ def build_indexes(papers: DataFrame, path: str, config: SearchConfig = SearchCon
     """Builds and persists the index; the corpus is materialised once for all of its tables."""
     index = build_index(materialize(papers, "corpus"), config, embedder, max_docs)
     write_index(index, path)
+    if not config.exact_vectors:
+        CellIndex(index.vectors, config).save(path)
 
 
 def search_many(index: ops.Index, requests: DataFrame, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, reranker: ops.Reranker = ops.lexical_reranker, dictionary: DataFrame | None = None) -> DataFrame:
@@ -78,6 +80,8 @@ class SearchEngine:
         self.spark, self.config = spark, config
         self.embedder, self.reranker = embedder or HashingEmbedder(config.dim), reranker
         self.index = read_index(spark, path)
+        if not config.exact_vectors:
+            self.index.cells = CellIndex.load(spark, path, config)
         self.dictionary = word_frequency(self.index.docs).persist()
         self.titles = suggestion_table(self.index.docs)
         self.caches = {name: ResultCache(config.cache_seconds, clock=clock) for name in ("search", "similar", "autocomplete")}

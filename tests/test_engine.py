@@ -271,6 +271,16 @@ def test_engine_end_to_end(spark, tmp_path):
         SearchEngine(spark, str(tmp_path / "none"))
 
 
+def test_engine_with_cells(spark, tmp_path):
+    path = str(tmp_path / "index")
+    texts = [(f"topic {i % 7} study {i}", f"about subject{i % 7} and more") for i in range(120)]
+    config = SearchConfig(shards=2, exact_vectors=False, probes=16)
+    build_indexes(papers_of(spark, texts), path, config)
+    by_cells, exact = SearchEngine(spark, path, config), SearchEngine(spark, path, SearchConfig(shards=2))
+    assert by_cells.similar("p3", 5) == exact.similar("p3", 5) != []
+    assert [r["id"] for r in by_cells.search("topic study")] == [r["id"] for r in exact.search("topic study")]
+
+
 def test_cache_expires():
     now, calls = [0.0], []
     cache = ResultCache(10, most=2, clock=lambda: now[0])
