@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,24 +300,27 @@ def _parser_of(rows: list[tuple[str, str, float]], options: PackedOptions) -> Pa
     return Parser(lengths["f"], math.log2(total["f"]), lengths["d"], options.longest_join)
 
 
-def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions = PackedOptions(), value: str = "value") -> DataFrame:
-    """One row ``(key, pos, value, dialect)`` for each value of ``column``; ``pos`` counts from 1."""
+def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions = PackedOptions(), value: str = "value", carried: dict[str, Column] | None = None) -> DataFrame:
+    """One row ``(key, pos, value, dialect)`` for each value of ``column``; ``pos`` counts from 1. ``carried`` columns follow by their names."""
     parser = learn_codes(df, column, options)
-    key_type = df.select(F.col(f"`{key}`")).schema[0].dataType
+    carried = carried or {}
+    source = df.select(F.col(f"`{column}`").cast("string").alias("_field"), F.col(f"`{key}`").alias(key), *[c.alias(n) for n, c in carried.items()]).where("_field is not null")
+    key_type = source.schema[1].dataType
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parser.best(x) for x in batch.column(1).to_pylist()]
+            parsed = [parser.best(x) for x in batch.column(0).to_pylist()]
             rows = pa.array([i for i, (_, v) in enumerate(parsed) for _ in v], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(rows),
+                    batch.column(1).take(rows),
                     pa.array([i for _, v in parsed for i in range(1, len(v) + 1)], pa.int32()),
                     pa.array([x for _, v in parsed for x in v], pa.string()),
                     pa.array([d for d, v in parsed for _ in v], pa.string()),
+                    *(c.take(rows) for c in batch.columns[2:]),
                 ],
-                names=[key, "pos", value, "dialect"],
+                names=[key, "pos", value, "dialect", *carried],
             )
 
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("pos", T.IntegerType()), T.StructField(value, T.StringType()), T.StructField("dialect", T.StringType())])
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").cast("string").alias("field")).where(F.col("field").isNotNull()).mapInArrow(parse, schema)
+    schema = T.StructType([T.StructField(key, key_type), T.StructField("pos", T.IntegerType()), T.StructField(value, T.StringType()), T.StructField("dialect", T.StringType()), *source.schema.fields[2:]])
+    return source.mapInArrow(parse, schema)
