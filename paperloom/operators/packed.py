@@ -305,7 +305,7 @@ def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions =
     parser = learn_codes(df, column, options)
     carried = carried or {}
     source = df.select(F.col(f"`{column}`").cast("string").alias("_field"), F.col(f"`{key}`").alias(key), *[c.alias(n) for n, c in carried.items()]).where("_field is not null")
-    key_type = source.schema[1].dataType
+    key_type, names = source.schema[1].dataType, [key, "pos", value, "dialect", *carried]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +319,7 @@ def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions =
                     pa.array([d for d, v in parsed for _ in v], pa.string()),
                     *(c.take(rows) for c in batch.columns[2:]),
                 ],
-                names=[key, "pos", value, "dialect", *carried],
+                names=names,
             )
 
     schema = T.StructType([T.StructField(key, key_type), T.StructField("pos", T.IntegerType()), T.StructField(value, T.StringType()), T.StructField("dialect", T.StringType()), *source.schema.fields[2:]])

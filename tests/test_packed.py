@@ -72,3 +72,10 @@ def test_skeletons_have_the_same_parse(spark):
         cheapest = min(parser.scored(f), key=lambda x: x[0])
         assert parser.best(f) == (cheapest[1], cheapest[2])
         assert [form(v) for v in parser.best(f)[1]] == [form(v) for v in Parser.best(parser, skeleton(f))[1]]
+
+
+def test_carried_columns(spark):
+    from pyspark.sql import functions as F
+
+    got = split_packed(packed(spark, ["Ada Lumen; Fay Toller"]), "k", "a", carried={"twice": F.col("k") * 2 + 1})
+    assert [(r.value, r.twice) for r in got.orderBy("pos").collect()] == [("Ada Lumen", 1), ("Fay Toller", 1)]
