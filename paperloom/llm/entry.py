@@ -15,9 +15,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.variants import link_variants, variant_pairs
 
     (papers,) = tables(spark, d, "papers")
-    authors = split_packed(papers, "line_no", "authors", value="author").select("line_no", "author")
-    first = papers.select("line_no", F.split("categories", " ")[0].alias("category"))
-    return variant_pairs(link_variants(authors.join(first, "line_no"), "author", "line_no", "category"))
+    authors = split_packed(papers, "line_no", "authors", value="author", carried={"category": F.split("categories", " ")[0]})
+    return variant_pairs(link_variants(authors, "author", "line_no", "category"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

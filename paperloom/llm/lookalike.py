@@ -93,39 +93,41 @@ def _tables() -> tuple[list[tuple[str, list[str]]], list[tuple[str, int]], list[
 
 @lru_cache(1)
 def _followers() -> str:
-    """A character class of all that belongs to the character before it: marks, invisible characters, Korean vowels and finals."""
+    """All that belongs to the character before it: marks, invisible characters, Korean vowels and finals."""
     made_of, classes, _ = _tables()
     joined = {c for c, _ in classes}
     joined |= {c for c, parts in made_of if not parts or parts[0] in joined}
     joined |= {chr(k) for k in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(k)) in ("Mn", "Mc", "Me", "Cf")}
-    ranges: list[list[int]] = []
-    for k in sorted(map(ord, joined)):
-        if ranges and ranges[-1][1] == k - 1:
-            ranges[-1][1] = k
-        else:
-            ranges.append([k, k])
-    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges) + "]"
+    return "".join(sorted(joined))
 
 
 class _Clusters:
     """Finds and replaces clusters. Texts without any follower, most of them, have single characters only."""
 
     def __init__(self, followers: str):
-        self.follower = re.compile(followers)
-        self.cluster = re.compile(rf"[\x00-\x7F]{followers}+|[^\x00-\x7F]{followers}*")
+        self.followers = frozenset(followers)
+        ranges: list[list[int]] = []
+        for k in map(ord, followers):
+            if ranges and ranges[-1][1] == k - 1:
+                ranges[-1][1] = k
+            else:
+                ranges.append([k, k])
+        one = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges) + "]"
+        self.cluster = re.compile(rf"[^\x00-\x7F]{one}*|[\x00-\x7F](?=[^\x00-\x7F]){one}+")
         self.run = re.compile(r"[^\x00-\x7F]+")
 
     def find(self, text: str | None) -> set[str]:
         if text is None or text.isascii():
             return set()
-        return set(self.cluster.findall(text)) if self.follower.search(text) else {c for c in set(text) if c > "\x7f"}
+        letters = set(text)
+        return {c for c in letters if c > "\x7f"} if self.followers.isdisjoint(letters) else set(self.cluster.findall(text))
 
     def replace(self, text: str | None, forms: dict[str, str]) -> str | None:
         if text is None or text.isascii():
             return text
-        if self.follower.search(text):
-            return self.cluster.sub(lambda m: forms.get(m[0], m[0]), text)
-        return self.run.sub(lambda m: "".join([forms.get(c, c) for c in m[0]]), text)
+        if self.followers.isdisjoint(set(text)):
+            return self.run.sub(lambda m: "".join([forms.get(c, c) for c in m[0]]), text)
+        return self.cluster.sub(lambda m: forms.get(m[0], m[0]), text)
 
     def pieces(self, text: str) -> list[str]:
         out, at = [], 0

@@ -16,7 +16,7 @@
 Pivots are fitted on a sample of at most ``pivot_sample`` distinct objects; everything else covers all
 rows. Nicknames come from the corpus (``Michael "Mike" Name``) and from a short fixed list.
 
-Edge cases: null and blank names are ignored; repeated rows count as evidence once; an empty table gives an empty
+Edge cases: null and blank names are ignored; a co-author counts once however often a row is repeated; an empty table gives an empty
 result; names without letters have no parts and match only themselves; extra columns are never read.
 """
 
@@ -184,9 +184,10 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
 
     ``authors`` has one row per author ``name`` of a ``work`` in a ``category`` (may be null).
     """
-    rows = authors.select(F.col(name).alias("name"), F.col(work).alias("work"), F.col(category).alias("category")).where("trim(name) <> '' and work is not null").distinct()
-    rows = materialize(rows, "author-rows")
-    known = materialize(parse_names(rows.select("name").distinct()), "parsed-names")
+    # evidence is kept by 64-bit hashes of names, families and categories
+    rows = authors.select(F.col(f"`{name}`").alias("name"), F.col(f"`{work}`").alias("work"), F.col(f"`{category}`").alias("c")).where("trim(name) <> '' and work is not null")
+    rows = materialize(rows.select("name", F.xxhash64("name").alias("nid"), "work", F.when(F.col("c") != "", F.xxhash64("c")).alias("category")), "author-rows")
+    known = materialize(parse_names(rows.select("name").distinct()).withColumn("nid", F.xxhash64("name")), "parsed-names")
     pairs = materialize(radius_join(known, "family", options), "family-pairs")
     families = known.select(F.col("family").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
     near = families.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> ''")
@@ -199,13 +200,12 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
     found = found.where(_given_agree("given_a", "canon_a", "given_b", "canon_b"))
     found = materialize(found.select("name_a", "name_b", "family_a", "family_b", "given_a", "given_b", "canon_a", "canon_b", "d").distinct(), "name-candidates")
 
-    # evidence is kept by 64-bit hashes of names and families
-    member = rows.join(known.select("name", "family"), "name").where("family <> ''").select("work", F.xxhash64("name").alias("name"), F.xxhash64("family").alias("family"))
+    member = rows.select("nid", "work").join(known.where("family <> ''").select("nid", F.xxhash64("family").alias("family")), "nid").select("work", F.col("nid").alias("name"), "family")
     met = member.join(member.select("work", F.col("family").alias("other")).distinct(), "work").where("family <> other").select("name", "family", "other").distinct()
     met = materialize(met, "met")
     sizes = met.groupBy("name").agg(F.count("*").alias("n_met"))
-    worked = rows.where("category is not null and category <> ''").groupBy(F.xxhash64("name").alias("name"), F.xxhash64("category").alias("category")).agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("category", F.struct("n", "category")).alias("main"))
-    context = materialize(known.select(F.xxhash64("name").alias("name")).join(sizes, "name", "left").join(worked, "name", "left").fillna({"n_met": 0}), "contexts")
+    worked = rows.where("category is not null").groupBy(F.col("nid").alias("name"), "category").agg(F.count("*").alias("n")).groupBy("name").agg(F.max(F.struct("n", "category")).alias("m")).select("name", F.col("m.category").alias("main"))
+    context = materialize(known.select(F.col("nid").alias("name")).join(sizes, "name", "left").join(worked, "name", "left").fillna({"n_met": 0}), "contexts")
 
     met_a, met_b = met.select(F.col("name").alias("name_a"), F.col("other").alias("x")), met.select(F.col("name").alias("name_b"), F.col("other").alias("y"))
     found = found.withColumnsRenamed({"name_a": "text_a", "name_b": "text_b"}).withColumns({f"name_{s}": F.xxhash64(f"text_{s}") for s in "ab"}).withColumn("family_b", F.xxhash64("family_b"))
@@ -235,9 +235,9 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
     spelled = spelled.unionByName(links.where(brief("given_b") & ~brief("given_a")).select(F.col("name_b").alias("name"), F.col("canon_a").alias("canon"), "score"))
     best = spelled.groupBy("name").agg(F.max_by("canon", F.struct("score", "canon")).alias("best"))
     links = links.join(best.withColumnsRenamed({"name": "name_a", "best": "best_a"}), "name_a", "left").join(best.withColumnsRenamed({"name": "name_b", "best": "best_b"}), "name_b", "left")
-    side_a = brief("given_b") | F.col("best_a").isNull() | (F.levenshtein(F.col("best_a"), F.col("canon_b"), 2) >= 0)
-    side_b = brief("given_a") | F.col("best_b").isNull() | (F.levenshtein(F.col("best_b"), F.col("canon_a"), 2) >= 0)
-    both = ~(brief("given_a") & brief("given_b")) | F.col("best_a").isNull() | F.col("best_b").isNull() | (F.levenshtein(F.col("best_a"), F.col("best_b"), 2) >= 0)
+    side_a = brief("given_b") | F.col("best_a").isNull() | (F.levenshtein(F.col("best_a"), F.col("canon_b"), 1) >= 0)
+    side_b = brief("given_a") | F.col("best_b").isNull() | (F.levenshtein(F.col("best_b"), F.col("canon_a"), 1) >= 0)
+    both = ~(brief("given_a") & brief("given_b")) | F.col("best_a").isNull() | F.col("best_b").isNull() | (F.levenshtein(F.col("best_a"), F.col("best_b"), 1) >= 0)
     return components(links.where(side_a & side_b & both), "name_a", "name_b")
 
 
