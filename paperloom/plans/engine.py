@@ -17,7 +17,7 @@ from paperloom.operators.corpus import shard_corpus
 from paperloom.operators.spelling import correct, lookup, word_frequency
 from paperloom.operators.suggest import suggest, suggest_many, suggestion_table
 from paperloom.operators.vectors import CellIndex, Embedder, HashingEmbedder, embed
-from paperloom.runtime import materialize
+from paperloom.runtime import materialize, ship
 from paperloom.sources.index_store import read_index, write_index
 
 
@@ -50,6 +50,7 @@ def build_index(papers: DataFrame, config: SearchConfig = SearchConfig(), embedd
 
 def build_indexes(papers: DataFrame, path: str, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, max_docs: int = 0) -> None:
     """Builds and persists the index; the corpus is materialised once for all of its tables."""
+    ship(papers.sparkSession)
     index = build_index(materialize(papers, "corpus"), config, embedder, max_docs)
     write_index(index, path)
     if not config.exact_vectors:
@@ -77,6 +78,7 @@ class SearchEngine:
     """One index with its dictionary, for single queries; every method returns plain rows."""
 
     def __init__(self, spark: SparkSession, path: str, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, reranker: ops.Reranker = ops.lexical_reranker, clock: Callable[[], float] = time.monotonic):
+        ship(spark)
         self.spark, self.config = spark, config
         self.embedder, self.reranker = embedder or HashingEmbedder(config.dim), reranker
         self.index = read_index(spark, path)

@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SHIPPED: set[str] = set()
 #: Intermediate tables of this process. They may be needed until the results that read them are, so only ``clean`` or the end removes them.
 _MADE: list[str] = []
 
@@ -44,6 +47,21 @@ def clean(spark: SparkSession) -> int:
     return len(made)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to all executors, once per application, so that Python workers need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="paperloom-code-")
+    _LOCAL.append(folder)
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/paperloom.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(f"{folder}/paperloom.zip")
+    _SHIPPED.add(context.applicationId)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table; no two calls share one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
