@@ -36,8 +36,8 @@ def field_tokens(docs: DataFrame) -> DataFrame:
 def bm25_tables(docs: DataFrame, config: SearchConfig = SearchConfig()) -> Bm25Tables:
     tokens = field_tokens(docs)
     fields = tokens.groupBy("shard_id", "field").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    # one shuffle: by term, which serves the counts within documents and those of documents
-    flat = tokens.select("shard_id", "doc_ord", "field", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")).repartition("shard_id", "field", "term")
+    # counts within a document are complete before the shuffle, and those of a term combine before theirs, so no word is a hot key
+    flat = tokens.select("shard_id", "doc_ord", "field", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
     postings = flat.groupBy("shard_id", "field", "term", "doc_ord").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     seen = postings.groupBy("shard_id", "field", "term").agg(F.count("*").alias("df"))
     raw = seen.join(F.broadcast(fields), ["shard_id", "field"]).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # two rows a shard

@@ -14,8 +14,10 @@ TABLES = ("docs", "postings", "terms", "fields", "vectors")
 def write_index(index: Index, path: str) -> None:
     """Postings and terms are sorted by field and term within files, so a query's words prune row groups."""
     index.docs.repartition("shard_id").sortWithinPartitions("shard_id", "doc_ord").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/docs")
+    # postings of a frequent word are cut by document ranges, else one task would write them all
+    cut = {"postings": F.xxhash64("term", F.floor(F.col("doc_ord") / 1_000_000)), "terms": F.xxhash64("term")}
     for name, df in (("postings", index.bm25.postings), ("terms", index.bm25.terms)):
-        df.repartition("shard_id", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("shard_id", "field", "term").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/{name}")
+        df.repartition("shard_id", F.pmod(cut[name], F.lit(16))).sortWithinPartitions("shard_id", "field", "term").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/{name}")
     index.bm25.fields.coalesce(1).write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/fields")
     index.vectors.repartition("shard_id").sortWithinPartitions("shard_id", "doc_ord").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/vectors")
 
