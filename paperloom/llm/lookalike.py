@@ -234,5 +234,8 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = materialize(formed.where("form <> ''").select("k", "x", hashed(F.col("form")).alias("h")), "lookalike-rows")
     mixed = rows.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h")
     kept = materialize(rows.join(mixed, "h"), "lookalike-mixed")
-    right = kept.select("h", F.col("x").alias("y"), F.col("k").alias("b"))
-    return kept.withColumnRenamed("k", "a").join(right, "h").where("a < b and x <> y").select("a", "b")
+    # pairs of texts first: rows of one text, be they a third of all, are never paired with each other
+    classes = kept.select("h", "x").distinct()
+    texts = classes.join(classes.withColumnRenamed("x", "y"), "h").where("x < y")
+    both = texts.join(kept.select("h", "x", F.col("k").alias("a")), ["h", "x"]).join(kept.select("h", F.col("x").alias("y"), F.col("k").alias("b")), ["h", "y"])
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
