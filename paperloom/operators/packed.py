@@ -60,7 +60,7 @@ JOINS = re.compile(r"\s*,?\s+(?:and|&)\s+")
 @dataclass(frozen=True)
 class PackedOptions:
     max_forms: int = 20_000
-    rounds: int = 3
+    rounds: int = 2
     longest_join: int = 4
 
 
