@@ -192,13 +192,15 @@ def link_variants(authors: DataFrame, name: str, work: str, category: str, optio
     families = known.select(F.col("family").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
     near = families.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> ''")
 
-    own = lambda s: known.select(*[F.col(c).alias(c + s) for c in ("name", "kind", "family", "given", "middle", "canon")], F.explode("initials").alias("initial" + s))
+    own = lambda s: known.select(*[F.col(c).alias(c + s) for c in ("name", "kind", "family", "given", "middle", "canon", "initials")], F.explode("initials").alias("initial" + s))
     found = own("_a").join(near.withColumnsRenamed({"a": "family_a", "b": "family_b"}), "family_a").join(own("_b"), "family_b")
     middle = (F.col("middle_a") == "") | (F.col("middle_b") == "") | (F.substring("middle_a", 1, 1) == F.substring("middle_b", 1, 1))
-    found = found.where("name_a < name_b and kind_a = kind_b and initial_a = initial_b").where(middle)
+    # a pair with two initials in common meets at the lesser one only
+    first = F.array_min(F.array_intersect("initials_a", "initials_b"))
+    found = found.where("name_a < name_b and kind_a = kind_b and initial_a = initial_b").where(middle).where(F.col("initial_a") == first)
     # compared before the UDF, for it has to see few rows
     found = found.where(_given_agree("given_a", "canon_a", "given_b", "canon_b"))
-    found = materialize(found.select("name_a", "name_b", "family_a", "family_b", "given_a", "given_b", "canon_a", "canon_b", "d").distinct(), "name-candidates")
+    found = materialize(found.select("name_a", "name_b", "family_a", "family_b", "given_a", "given_b", "canon_a", "canon_b", "d"), "name-candidates")
 
     member = rows.select("nid", "work").join(known.where("family <> ''").select("nid", F.xxhash64("family").alias("family")), "nid").select("work", F.col("nid").alias("name"), "family")
     met = member.join(member.select("work", F.col("family").alias("other")).distinct(), "work").where("family <> other").select("name", "family", "other").distinct()
