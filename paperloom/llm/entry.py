@@ -154,5 +154,16 @@ def oracle_sql() -> dict[str, str]:
             sizes as (select line_no, count(*) as n from runs group by line_no),
             common as (select a.line_no as line_no_a, b.line_no as line_no_b, count(*) as c from runs a join runs b using (run) where a.line_no < b.line_no group by all)
             select line_no_a, line_no_b from common join sizes x on x.line_no = line_no_a join sizes y on y.line_no = line_no_b where c >= 0.6 * (x.n + y.n - c)""",
+        "p5_groups": """
+            with recursive texts as (select line_no, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}_]+') as ws from papers),
+            classes as (select ws, min(line_no) as rep, count(*) as copies from texts where len(ws) >= 5 group by ws),
+            runs as (select distinct rep, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as run from classes),
+            sizes as (select rep, count(*) as n from runs group by rep),
+            common as (select a.rep as a, b.rep as b, count(*) as c from runs a join runs b using (run) where a.rep <> b.rep group by all),
+            links as (select a, b from common join sizes x on x.rep = a join sizes y on y.rep = b where c >= 0.8 * (x.n + y.n - c)),
+            reach as (select rep as a, rep as b from classes union select r.a, l.b from reach r join links l on l.a = r.b),
+            roots as (select a, min(b) as root from reach group by a),
+            degree as (select a, count(*) as links from links group by a)
+            select line_no, root as group_line_no, copies, coalesce(links, 0) as links from texts join classes using (ws) join roots on a = rep left join degree on degree.a = rep""",
         "p1_revised": WORDS_SQL.format(papers=LATEST_SQL) + "select * from counts",
     }
