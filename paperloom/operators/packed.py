@@ -60,7 +60,7 @@ JOINS = re.compile(r"\s*,?\s+(?:and|&)\s+")
 @dataclass(frozen=True)
 class PackedOptions:
     max_forms: int = 20_000
-    rounds: int = 2
+    rounds: int = 3
     longest_join: int = 4
 
 
@@ -231,7 +231,10 @@ class Parser:
         return sum(map(self.cost, apart)) + self._code(f"{name} split") <= self._code(f"{name} mixed") + 2.0
 
     def scored(self, field: str) -> list[tuple[float, str, list[str]]]:
-        return [(sum(map(self.cost, values)) + self._code(name), name, values) for name, values in self.parses(field)]
+        # a line break or tab inside a value is lost when white space is collapsed, so it is paid for here
+        breaks = {repr(d)[1:-1]: 2 * TOKEN_BITS * field.strip().count(d) for d in "\n\t" if d in field.strip()}
+        hidden = lambda name: sum(n for d, n in breaks.items() if d not in name)
+        return [(sum(map(self.cost, values)) + self._code(name) + hidden(name), name, values) for name, values in self.parses(field)]
 
     def best(self, field: str | None) -> tuple[str | None, list[str]]:
         """The cheapest dialect, which is the same for all fields of a skeleton, and the field's values in it."""
