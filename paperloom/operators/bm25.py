@@ -52,15 +52,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_hits(tables: Bm25Tables, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """``(query_id, shard_id, doc_ord, field, score)`` of documents with a query word in the field."""
+def _contributions(tables: Bm25Tables, queries: DataFrame, config: SearchConfig) -> DataFrame:
+    """``(query_id, shard_id, doc_ord, field, part)``: what each query word adds to a document's field."""
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
     # the words asked for prune the postings before they meet the statistics
-    found = tables.postings.join(wanted, "term", "left_semi").join(tables.terms.join(wanted, "term", "left_semi"), ["shard_id", "field", "term"]).join(F.broadcast(tables.fields.select("shard_id", "field", "avgdl")), ["shard_id", "field"])
+    found = tables.postings.join(wanted, "term", "left_semi").join(tables.terms.join(wanted, "term", "left_semi"), ["shard_id", "field", "term"]).join(F.broadcast(tables.fields.select("shard_id", "field", "avgdl")), ["shard_id", "field"])  # two rows a shard
     relative = F.coalesce(F.try_divide(F.col("doc_len").cast("double"), F.col("avgdl")), F.lit(0.0))
     weight = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * relative))
-    return found.withColumn("w", weight).join(asked, "term").groupBy("query_id", "shard_id", "doc_ord", "field").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
+    return found.withColumn("w", weight).join(asked, "term").select("query_id", "shard_id", "doc_ord", "field", (F.col("times") * F.col("w")).alias("part"))
+
+
+def bm25_hits(tables: Bm25Tables, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """``(query_id, shard_id, doc_ord, field, score)`` of documents with a query word in the field."""
+    return _contributions(tables, queries, config).groupBy("query_id", "shard_id", "doc_ord", "field").agg(F.sum("part").alias("score"))
+
+
+def bm25_scores(tables: Bm25Tables, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """``(query_id, shard_id, doc_ord, raw)``, laid out by query and shard, as everything that follows needs it.
+
+    One word's postings meet another's only here, so nothing combines before this shuffle, and none is needed after.
+    """
+    weight = F.when(F.col("field") == "title", config.title_weight).otherwise(config.abstract_weight)
+    flat = _contributions(tables, queries, config).select("query_id", "shard_id", "doc_ord", (weight * F.col("part")).alias("part"))
+    return flat.repartition("query_id", "shard_id").groupBy("query_id", "shard_id", "doc_ord").agg(F.sum("part").alias("raw"))
 
 
 def bm25_weighted(hits: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -83,11 +98,14 @@ def bm25_normalized(weighted: DataFrame, queries: DataFrame, fields: DataFrame)
     return scaled, every
 
 
-def bm25_candidates(scaled: DataFrame, every: DataFrame, k: int) -> DataFrame:
+def bm25_candidates(scaled: DataFrame, every: DataFrame, k: int, fill: DataFrame | None = None) -> DataFrame:
     """``(query_id, shard_id, doc_ord, bm25, place)``: each shard's best k, documents without a score included.
 
     Of those, only the first ones by position can be among the k, so no shard is joined with all queries in full.
+    With ``fill (query_id)`` they are generated for these queries only.
     """
+    if fill is not None:
+        every = every.join(fill, "query_id", "left_semi")
     short = every.where(F.col("positive") < k).where(F.col("scored") < F.col("n_docs"))
     reach = F.least(F.col("n_docs"), F.col("scored") + k)
     blank = short.select("query_id", "shard_id", F.explode(F.sequence(F.lit(0), (reach - 1).cast("int"))).alias("doc_ord")).join(scaled.select("query_id", "shard_id", "doc_ord"), ["query_id", "shard_id", "doc_ord"], "left_anti")

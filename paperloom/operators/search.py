@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from paperloom.config import SearchConfig
 from paperloom.functions.text import strip, title_and_abstract, words
 from paperloom.functions.vector import similarity_of_distance
-from paperloom.operators.bm25 import Bm25Tables, bm25_candidates, bm25_hits, bm25_normalized, bm25_weighted
+from paperloom.operators.bm25 import Bm25Tables, bm25_candidates, bm25_normalized, bm25_scores
 from paperloom.operators.corpus import shard_order
 from paperloom.operators.vectors import CellIndex, nearest_per_shard
+from paperloom.runtime import materialize
 
 Reranker = Callable[[Column, Column, Column], Column]
 
@@ -42,21 +43,34 @@ def lexical_reranker(query: Column, title: Column, abstract: Column) -> Column:
     return F.size(F.array_intersect(asked, words(text))) / n + 0.5 * F.size(F.array_intersect(asked, words(title))) / n
 
 
-def fuse(index: Index, queries: DataFrame, query_vectors: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+def fuse(index: Index, queries: DataFrame, query_vectors: DataFrame, config: SearchConfig = SearchConfig(), complete: bool = True) -> DataFrame:
     """``(query_id, shard_id, doc_ord, bm25, similarity, fused)`` of every candidate.
 
     Candidates are the union of each shard's best by BM25 and by distance. The BM25 part counts for all of them,
-    the vector part only for those among the nearest.
+    the vector part only for those among the nearest. Where the list need not be ``complete``, documents that have neither
+    part (and score zero) are left out for queries that have a full shortlist of better ones.
     """
-    hits = bm25_hits(index.bm25, queries, config)
-    scaled, every = bm25_normalized(bm25_weighted(hits, config), queries, index.bm25.fields)
-    by_words = bm25_candidates(scaled, every, config.bm25_per_shard).select("query_id", "shard_id", "doc_ord")
-    near = index.nearest(query_vectors, config.vectors_per_shard, config)
     key = ["query_id", "shard_id", "doc_ord"]
+    weighted = bm25_scores(index.bm25, queries, config)
+    weighted = weighted if complete else materialize(weighted, "bm25")
+    scaled, every = bm25_normalized(weighted, queries, index.bm25.fields)
+    near = index.nearest(query_vectors, config.vectors_per_shard, config)
     by_vector = near.select(*key, similarity_of_distance(F.col("distance")).alias("similarity"))
-    both = by_words.unionByName(by_vector.select(*key)).distinct()
-    scored = both.join(scaled, key, "left").join(by_vector, key, "left").fillna({"bm25": 0.0, "similarity": 0.0})
-    return scored.withColumn("fused", F.col("bm25") + config.vector_weight * F.col("similarity"))
+    by_vector = by_vector if complete else materialize(by_vector, "nearest")
+
+    def score(by_words: DataFrame, by_vector: DataFrame) -> DataFrame:
+        both = by_words.select(*key).unionByName(by_vector.select(*key)).distinct()
+        scored = both.join(scaled, key, "left").join(by_vector, key, "left").fillna({"bm25": 0.0, "similarity": 0.0})
+        return scored.withColumn("fused", F.col("bm25") + config.vector_weight * F.col("similarity"))
+
+    if complete:
+        return score(bm25_candidates(scaled, every, config.bm25_per_shard), by_vector)
+    none = queries.select("query_id").limit(0)
+    found = materialize(score(bm25_candidates(scaled, every, config.bm25_per_shard, none), by_vector), "fused")
+    full = found.where("fused > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= config.shortlist)
+    short = materialize(queries.select("query_id").distinct().join(full, "query_id", "left_anti"), "short-queries")
+    rest = score(bm25_candidates(scaled.join(short, "query_id", "left_semi"), every, config.bm25_per_shard, short), by_vector.join(short, "query_id", "left_semi"))
+    return found.join(short, "query_id", "left_anti").unionByName(rest)
 
 
 def shortlist(fused: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:

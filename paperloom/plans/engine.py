@@ -69,7 +69,7 @@ def search_many(index: ops.Index, requests: DataFrame, config: SearchConfig = Se
         queries = correct(queries, dictionary, config).select("query_id", F.col("corrected").alias("query"))
     queries = materialize(queries, "queries")
     vectors = embed(queries.select("query_id", "query"), "query", "vector", embedder or HashingEmbedder(config.dim))
-    short = ops.shortlist(ops.fuse(index, queries, vectors, config), config)
+    short = ops.shortlist(ops.fuse(index, queries, vectors, config, complete=False), config)
     ranked = ops.rerank(short, queries, index.docs, reranker)
     return ops.cut_page(ranked, asked, config).drop("query_id")
 
