@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from paperloom.runtime import table_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """A parquet table as a stream of its files."""
@@ -21,22 +24,35 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int = 64) -> D
     return source.parquet(path)
 
 
-def request_windows(requests: DataFrame, window: str = "1 hour", lateness: str = "30 days") -> DataFrame:
-    """``(window_start, requests)``: requests by the hour they were made; a request sent again within the lateness counts once."""
-    timed = requests.withColumn("at", F.col("requested_at").cast("timestamp")).withWatermark("at", lateness)
-    once = timed.dropDuplicatesWithinWatermark(["request_id"])
+def request_windows(requests: DataFrame, window: str = "1 hour", lateness: str | None = None) -> DataFrame:
+    """``(window_start, requests)``: requests by the hour they were made; a request sent again counts once.
+
+    By default no row is too late, in whatever order files come, and the state holds every request's id: for replays of
+    what is there. For a stream without end ``lateness`` bounds the state; rows later than that are then dropped, and a
+    request sent again after it counts twice.
+    """
+    timed = requests.withColumn("at", F.col("requested_at").cast("timestamp"))
+    if lateness is None:
+        once = timed.select("request_id", "at").dropDuplicates(["request_id"])
+    else:
+        once = timed.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["request_id"])
     return once.groupBy(F.window("at", window).alias("w")).agg(F.count("*").alias("requests")).select(F.col("w.start").alias("window_start"), "requests")
 
 
 def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, and returns the table it wrote."""
+    """Runs a stream over all that is there now, and returns the table it wrote. Its state is kept on disk, as it may outgrow memory."""
     spark = stream.sparkSession
     path = path or table_path(spark, "stream-out")
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", table_path(spark, "stream-state")).trigger(availableNow=True).foreachBatch(write).start()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        query = stream.writeStream.outputMode("complete").option("checkpointLocation", table_path(spark, "stream-state")).trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)  # a query keeps the settings it started with
     query.awaitTermination()
     return spark.read.parquet(path)
 
