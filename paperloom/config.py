@@ -24,7 +24,9 @@ class SearchConfig:
     min_prefix_length: int = 1
     cache_seconds: float = 3600.0
     dim: int = 64
-    probes: int = 1
+    #: Cells of a shard to probe; none: as many as reach ``recall``, measured against a scan.
+    probes: int | None = None
+    recall: float = 0.95
     exact_vectors: bool = True
     query_block: int = 4096
 

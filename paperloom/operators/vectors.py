@@ -129,30 +129,49 @@ def cells_of(n: int) -> int:
     return max(16, min(4096, int(n**0.5)))
 
 
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre of each row, in blocks that bound the matrix of distances."""
+    step, half = max(1, (1 << 23) // max(1, len(c))), 0.5 * (c**2).sum(1)
+    return np.concatenate([(x[i : i + step] @ c.T - half).argmax(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
 class CellIndex:
-    """An inverted file per shard: k-means cells on the shard's first rows, and every row with its cell."""
+    """An inverted file per shard: k-means cells on a sample of the shard, and every row with its cell.
+
+    How many cells are probed is measured, unless ``probes`` says it: the exact neighbours of sampled rows (and of further
+    queries, if given) are found by a scan, and probes are widened until ``config.recall`` of them are in probed cells.
+    ``calibrated`` holds the figures by depth, the number of neighbours wanted; beyond the last depth all cells are probed.
+    """
+
+    DEPTHS = (10, 50, 200)
 
-    def __init__(self, vectors: DataFrame, config: SearchConfig = SearchConfig(), seed: int = 1, train_cap: int = 20_000):
-        """``train_cap`` bounds the rows a shard's cells are fitted on, its first ones; all rows are indexed."""
-        self.config = config
+    def __init__(self, vectors: DataFrame, config: SearchConfig = SearchConfig(), seed: int = 1, train_least: int = 50_000, asked: DataFrame | None = None):
+        """A shard's cells are fitted on ``train_least`` of its rows, or 40 a cell if that is more; all rows are indexed.
+        ``asked (vector)`` are queries unlike the rows that calibration has to serve as well."""
+        self.config, self.asked = config, asked
+        self.calibrated: dict[int, tuple[int, float]] = {}
         vectors = materialize(vectors.select("shard_id", "doc_ord", "vector").where("vector is not null"), "cell-vectors")
         counts = {r.shard_id: r.n for r in vectors.groupBy("shard_id").agg(F.count("*").alias("n")).collect()}  # a row per shard
+        wanted = {s: min(n, max(40 * cells_of(n), train_least)) for s, n in counts.items()}
 
         def train(f: pd.DataFrame) -> pd.DataFrame:
             s = int(f["shard_id"].iloc[0])
-            n = counts[s]
-            cells = min(cells_of(n), n)
-            x = np.stack(f.nsmallest(min(n, max(40 * cells, 50_000), train_cap), "doc_ord")["vector"].to_list()).astype(np.float64)
-            c = x[np.random.default_rng(seed + s).choice(len(x), min(cells, len(x)), replace=False)]
+            cells, rng = min(cells_of(counts[s]), counts[s]), np.random.default_rng(seed + s)
+            x = np.stack(f.sort_values("doc_ord")["vector"].to_list()).astype(np.float64)
+            if len(x) > wanted[s]:
+                x = x[np.sort(rng.choice(len(x), wanted[s], replace=False))]
+            c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
             for _ in range(10):
-                at = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+                at = _closest(x, c)
                 c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
             return pd.DataFrame({"shard_id": s, "cell": range(len(c)), "centre": list(c)})
 
-        # positions are dense, so this bounds the rows of a shard that training sees
-        first = vectors.where(F.col("doc_ord") < 4 * train_cap).select("shard_id", "doc_ord", "vector")
+        # a sample by hash, somewhat larger than wanted, bounds the rows of a shard that training sees
+        spark, million = vectors.sparkSession, 1_000_000
+        shares = spark.createDataFrame([(s, min(million, int(1.1 * million * wanted[s] / n) + 1)) for s, n in counts.items()], "shard_id int, share int")
+        some = vectors.join(F.broadcast(shares), "shard_id").where(F.pmod(F.xxhash64("doc_ord"), F.lit(million)) < F.col("share")).select("shard_id", "doc_ord", "vector")
         self.centres: dict[int, np.ndarray] = {}
-        for r in first.groupBy("shard_id").applyInPandas(train, "shard_id int, cell int, centre array<double>").orderBy("shard_id", "cell").collect():  # at most 4096 rows a shard
+        for r in some.groupBy("shard_id").applyInPandas(train, "shard_id int, cell int, centre array<double>").orderBy("shard_id", "cell").collect():  # at most 4096 rows a shard
             self.centres.setdefault(r.shard_id, []).append(r.centre)
         self.centres = {s: np.array(c) for s, c in self.centres.items()}
         centres = self.centres
@@ -163,13 +182,65 @@ class CellIndex:
                 if b.num_rows:
                     x = _stack(b.column(2))
                     for s in np.unique(shard):
-                        c = centres[int(s)]
-                        cell[shard == s] = (x[shard == s] @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+                        cell[shard == s] = _closest(x[shard == s], centres[int(s)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["shard_id", "doc_ord", "vector", "cell"])
 
         kept = vectors.select("shard_id", "doc_ord", "vector")
         self.rows = kept.mapInArrow(assign, T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType())]))
 
+    def _nearest_cells(self, q: np.ndarray, shard: int) -> np.ndarray:
+        c = self.centres[shard]
+        return np.argsort((c**2).sum(1)[None, :] - 2 * q @ c.T, 1, kind="stable")
+
+    def calibrate(self, depths: Sequence[int] = DEPTHS, sample: int = 256) -> None:
+        """Measures, for ``sample`` rows and as many of ``asked``, the recall of each number of probes. A row is no neighbour of its own."""
+        spark, most = self.rows.sparkSession, max(depths)
+        by_hash = F.xxhash64("shard_id", "doc_ord"), "shard_id", "doc_ord"
+        queries = [(r.shard_id, r.doc_ord, list(r.vector)) for r in self.rows.drop("cell").orderBy(*by_hash).limit(sample).collect()]
+        own = len(queries)
+        if self.asked is not None:
+            queries += [(None, None, list(r.vector)) for r in self.asked.select("vector").where("vector is not null").orderBy(F.xxhash64("vector")).limit(sample).collect()]
+        if not queries:
+            self.calibrated |= dict.fromkeys(depths, (1, 1.0))
+            return
+        held = spark.createDataFrame([(i, *q) for i, q in enumerate(queries)], "query_id int, own_shard int, own_ord int, vector array<double>")
+        near = nearest_per_shard(self.rows, held, most + 1).join(F.broadcast(held.drop("vector")), "query_id")
+        near = near.where(~F.coalesce((F.col("shard_id") == F.col("own_shard")) & (F.col("doc_ord") == F.col("own_ord")), F.lit(False)))
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "shard_id").orderBy("distance", "doc_ord")))
+        near = near.select("query_id", "shard_id", "doc_ord", "place").join(self.rows.select("shard_id", "doc_ord", "cell"), ["shard_id", "doc_ord"])
+        q = np.array([x[2] for x in queries])
+        rank = spark.sparkContext.broadcast({s: np.argsort(self._nearest_cells(q, s), 1).astype(np.int32) for s in self.centres})
+
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                query, shard, place, cell = (b.column(i).to_numpy() for i in range(4))
+                r = np.zeros(b.num_rows, np.int32)
+                for s in np.unique(shard):
+                    r[shard == s] = rank.value[int(s)][query[shard == s], cell[shard == s]]
+                yield pa.RecordBatch.from_arrays([pa.array(query >= own), pa.array(place), pa.array(r)], names=["asked", "place", "rank"])
+
+        hits = near.select("query_id", "shard_id", "place", "cell").mapInArrow(ranked, "asked boolean, place int, rank int")
+        counted = hits.groupBy("asked", "place", "rank").agg(F.count("*").alias("n")).collect()  # at most 2 x depth x 4096 rows
+        cells = max(len(c) for c in self.centres.values())
+        for depth in depths:
+            found = []
+            for asked in (False, True):
+                n = np.bincount([r["rank"] for r in counted if r.asked == asked and r.place <= depth], [r.n for r in counted if r.asked == asked and r.place <= depth], cells)
+                if n.sum():
+                    recall = np.cumsum(n) / n.sum()
+                    least = int(np.argmax(recall >= min(self.config.recall, recall[-1])))
+                    found.append((least + 1, float(recall[least])))
+            self.calibrated[depth] = (max((p for p, _ in found), default=1), min((r for _, r in found), default=1.0))
+
+    def probes_for(self, k: int) -> int:
+        """The probes that reach the wanted recall of ``k`` neighbours; all cells beyond the last depth."""
+        depth = next((x for x in self.DEPTHS if x >= k), None)
+        if depth is None:
+            return max((len(c) for c in self.centres.values()), default=1)
+        if depth not in self.calibrated:
+            self.calibrate((depth,))
+        return self.calibrated[depth][0]
+
     def search(self, query: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
         """``(shard_id, doc_ord, distance, place)`` for one query vector."""
         one = self.rows.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, vector array<double>")
@@ -177,43 +248,75 @@ class CellIndex:
 
     def search_many(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """``(query_id, shard_id, doc_ord, distance, place)``: each shard's k nearest in its ``probes`` nearest cells; fewer if those hold fewer.
+        Without ``probes`` there and in the configuration, as many as calibration found.
 
-        Queries and rows meet by an equality join on shard and cell, so only probed cells are read.
+        Queries are a stated set, as in ``nearest_per_shard``: a block of them is broadcast, and only rows of probed cells
+        reach the tasks, which hold each cell against its queries as a matrix product and send on their k nearest.
         """
-        centres, probes = self.centres, probes or self.config.probes
-        id_field = queries.schema["query_id"]
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows, shards, cells = [], [], []
-                if b.num_rows:
-                    q = _stack(b.column(1))
-                    for s, c in centres.items():
-                        near = np.argsort((c**2).sum(1)[None, :] - 2 * q @ c.T, 1, kind="stable")[:, :probes]
-                        rows.append(np.repeat(np.arange(len(q)), near.shape[1]))
-                        shards.append(np.full(near.size, s, np.int32))
-                        cells.append(near.ravel().astype(np.int32))
-                at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int32)) for x in (shards, cells))], names=["query_id", "q", "shard_id", "cell"])
-
-        schema = T.StructType([id_field, T.StructField("q", T.ArrayType(T.DoubleType())), T.StructField("shard_id", T.IntegerType()), T.StructField("cell", T.IntegerType())])
-        probed = queries.select("query_id", "vector").where("vector is not null").mapInArrow(probe, schema)
-        gap = F.aggregate(F.zip_with("vector", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-        near = self.rows.join(probed, ["shard_id", "cell"]).select("query_id", "shard_id", "doc_ord", F.round(gap, 9).alias("distance"))
+        probes = probes or self.config.probes or self.probes_for(k)
+        spark = self.rows.sparkSession
+        rows = [(r.query_id, r.vector) for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator()]
+        id_type, id_arrow = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
+        parts = []
+        for at in range(0, max(1, len(rows)), self.config.query_block):
+            block = rows[at : at + self.config.query_block]
+            ids, q = [r[0] for r in block], np.array([r[1] for r in block], np.float64).reshape(len(block), len(rows[0][1]) if rows else 0)
+            asking: dict[tuple[int, int], np.ndarray] = {}
+            for s in self.centres if block else ():
+                near = self._nearest_cells(q, s)[:, :probes]
+                order = np.argsort(near, axis=None, kind="stable")
+                cells, first = np.unique(near.ravel()[order], return_index=True)
+                asking |= {(s, int(c)): w.astype(np.int32) for c, w in zip(cells, np.split(order // near.shape[1], first[1:]), strict=True)}
+            held = spark.sparkContext.broadcast((q, asking))
+
+            def run(batches: Iterator[pa.RecordBatch], held=held, ids=ids) -> Iterator[pa.RecordBatch]:
+                q, asking = held.value
+                qq = (q**2).sum(1)
+                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    x, shard, place, cell = _stack(b.column(2)), b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
+                    by_cell = np.lexsort((cell, shard))
+                    edges = np.flatnonzero((np.diff(shard[by_cell]) != 0) | (np.diff(cell[by_cell]) != 0)) + 1
+                    for mine in np.split(by_cell, edges):
+                        s = int(shard[mine[0]])
+                        if (who := asking.get((s, int(cell[mine[0]])))) is None:
+                            continue
+                        if s not in best:
+                            best[s] = (np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64))
+                        d = np.round(np.maximum(0.0, qq[who, None] + (x[mine] ** 2).sum(1)[None, :] - 2 * q[who] @ x[mine].T), 9)
+                        d = np.concatenate((best[s][0][who], d), 1)
+                        o = np.concatenate((best[s][1][who], np.broadcast_to(place[mine], (len(who), len(mine)))), 1)
+                        pick = np.lexsort((o, d), axis=1)[:, :k]
+                        best[s][0][who], best[s][1][who] = np.take_along_axis(d, pick, 1), np.take_along_axis(o, pick, 1)
+                for s, (d, o) in best.items():
+                    row, col = np.nonzero(o >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow).take(pa.array(row)), pa.array(np.full(len(row), s, np.int32)), pa.array(o[row, col].astype(np.int32)), pa.array(d[row, col])], names=["query_id", "shard_id", "doc_ord", "distance"])
+
+            probed = F.broadcast(spark.createDataFrame(list(asking), "shard_id int, cell int"))
+            parts.append(self.rows.join(probed, ["shard_id", "cell"], "left_semi").select("shard_id", "doc_ord", "vector", "cell").mapInArrow(run, f"query_id {id_type}, shard_id int, doc_ord int, distance double"))
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
         best = Window.partitionBy("query_id", "shard_id").orderBy("distance", "doc_ord")
-        return near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
     def save(self, path: str) -> None:
-        """Centres and rows as parquet, rows partitioned by shard and sorted by cell, so that a probe reads few row groups."""
+        """Centres, calibrated probes and rows as parquet, rows partitioned by shard and sorted by cell, so that a probe reads few row groups."""
         spark = self.rows.sparkSession
         table = [(s, k, [float(x) for x in c]) for s, cs in self.centres.items() for k, c in enumerate(cs)]
         spark.createDataFrame(table, "shard_id int, cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        if not self.config.probes:
+            self.calibrate()
+        spark.createDataFrame([(d, p, r) for d, (p, r) in self.calibrated.items()], "depth int, probes int, recall double").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
         self.rows.repartition("shard_id").sortWithinPartitions("shard_id", "cell", "doc_ord").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/cells")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: SearchConfig = SearchConfig()) -> CellIndex:
         self = cls.__new__(cls)
-        self.config, self.rows, centres = config, spark.read.parquet(f"{path}/cells"), {}
+        self.config, self.asked, self.rows, centres = config, None, spark.read.parquet(f"{path}/cells"), {}
+        self.calibrated = {r.depth: (r.probes, r.recall) for r in spark.read.parquet(f"{path}/probes").collect()}
         for r in spark.read.parquet(f"{path}/centres").orderBy("shard_id", "cell").collect():  # at most 4096 rows a shard
             centres.setdefault(r.shard_id, []).append(r.centre)
         self.centres = {s: np.array(c) for s, c in centres.items()}

@@ -259,11 +259,26 @@ def similar_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The approximate variant: cells of each shard, the four nearest of them probed."""
-    near = CellIndex(_vectors(spark, d).drop("id"), CONFIG).search(_first_vector(spark, d), 10, probes=4)
+    """The approximate variant: cells of each shard, as many of the nearest probed as reach the wanted recall."""
+    index = CellIndex(_vectors(spark, d).drop("id"), CONFIG)
+    first = index.rows.orderBy(shard_order(F.col("shard_id")), "doc_ord").select("vector").first()
+    near = index.search(first.vector if first else (0.0,) * CONFIG.dim, 10)
     return near.select("shard_id", "place", "doc_ord", F.round("distance", 6).alias("distance"))
 
 
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable row whose ``vec_no`` is divisible by 50, scaled to length one."""
+    rows = table(spark, d, "paper_vectors").where("vec_no % 50 = 0 and size(embedding) = 64").where(F.forall("embedding", lambda x: x.isNotNull()))
+    return rows.where(norm(F.col("embedding")) > 0).select(F.col("vec_no").alias("query_id"), l2_normalize(F.col("embedding")).alias("vector"))
+
+
+@query
+def ivf_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Each shard's ten nearest, by its cells, of every row whose ``vec_no`` is divisible by 50."""
+    near = CellIndex(_vectors(spark, d).drop("id"), CONFIG).search_many(_asked_vectors(spark, d), 10)
+    return near.select(F.col("query_id").alias("vec_no"), "shard_id", "place", "doc_ord", F.round("distance", 6).alias("distance"))
+
+
 @query
 def embed_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("line_no", F.concat("title", F.lit(" "), "abstract").alias("text"))

@@ -54,7 +54,10 @@ def build_indexes(papers: DataFrame, path: str, config: SearchConfig = SearchCon
     index = build_index(materialize(papers, "corpus"), config, embedder, max_docs)
     write_index(index, path)
     if not config.exact_vectors:
-        CellIndex(index.vectors, config).save(path)
+        # titles stand for typed queries, which are shorter than the texts that the rows embed
+        titles = index.docs.where(F.col("title").rlike(r"\S")).orderBy(F.xxhash64("shard_id", "doc_ord"), "shard_id", "doc_ord").limit(256).select("doc_ord", "title")
+        asked = embed(titles, "title", "vector", embedder or HashingEmbedder(config.dim))
+        CellIndex(index.vectors, config, asked=asked).save(path)
 
 
 def search_many(index: ops.Index, requests: DataFrame, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, reranker: ops.Reranker = ops.lexical_reranker, dictionary: DataFrame | None = None) -> DataFrame:
