@@ -106,7 +106,7 @@ def pack(texts: DataFrame, key: str, text: str, sizes: DataFrame, options: Packi
     table of ``(profile, capacity)``.
     """
     spark = texts.sparkSession
-    profiles = [(r[0], int(r[1])) for r in sizes.select(profile, capacity).where(F.col(capacity) > 0).distinct().orderBy(profile, capacity).limit(1000).collect()]
+    profiles = [(r[0], int(r[1])) for r in sizes.select(profile, capacity).where(F.col(capacity) > 0).distinct().orderBy(profile, capacity).collect()]  # a parameter table
     source = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     key_type = source.schema["k"].dataType.simpleString()
     vocabulary = spark.sparkContext.broadcast(Path(options.tokenizer).read_bytes())

@@ -70,3 +70,9 @@ def test_tokenizers(name):
 def test_unknown_tokenizer():
     with pytest.raises(ValueError):
         token_counter("x.bin", b"")
+
+
+def test_every_profile_of_a_large_table(spark):
+    texts = spark.createDataFrame([(1, "a few words"), (2, "and some more")], "k bigint, t string")
+    sizes = spark.createDataFrame([(f"p{i:04}", 100 + i) for i in range(1100)], "profile string, capacity int")
+    assert pack(texts, "k", "t", sizes).select("profile").distinct().count() == 1100
