@@ -19,7 +19,7 @@ rows come back only where a result asks for rows. So a text that holds a third o
 one variant set per task.
 
 Edge cases: nulls count as empty text; records with fewer than ``min_words`` words, or fewer words than a
-shingle has, are no candidates; exact copies have likeness 1; an empty table gives an empty result; texts of any length are
+shingle has, are no candidates, but have a group with their exact copies; exact copies have likeness 1; an empty table gives an empty result; texts of any length are
 used whole; extra columns are never read.
 """
 
@@ -210,10 +210,10 @@ def _text_columns(df: DataFrame, columns: Sequence[str]) -> list:
     return [F.col(f"`{c}`").cast("string").alias(f"t{i}") for i, c in enumerate(columns)]
 
 
-def classes(df: DataFrame, key: str, columns: Sequence[str], o: NearDupOptions) -> DataFrame:
-    """``(k, class, check, n)`` of every row with enough words: 128 bits of its words' hash, and the number of words."""
+def classes(df: DataFrame, key: str, columns: Sequence[str], o: NearDupOptions, every: bool = False) -> DataFrame:
+    """``(k, class, check, n)`` of every row with enough words, or of ``every`` row: 128 bits of its words' hash, and the number of words."""
     key_type = df.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
-    least = max(o.min_words, o.shingle)
+    least = 0 if every else max(o.min_words, o.shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,9 +336,10 @@ def row_pairs(df: DataFrame, key: str, columns: Sequence[str], o: NearDupOptions
 
 
 def row_groups(df: DataFrame, key: str, columns: Sequence[str], o: NearDupOptions = NearDupOptions()) -> DataFrame:
-    """``(key, group, copies, links)`` of every row with enough words: the least row key of its group, the number of its
-    exact copies (itself included) and of the other texts it is linked to. Copies are not expanded into pairs."""
-    member = materialize(classes(df, key, columns, o).drop("n"), "neardup-classes")
+    """``(key, group, copies, links)`` of every row: the least row key of its group, the number of its
+    exact copies (itself included) and of the other texts it is linked to. Copies are not expanded into pairs.
+    Rows with too few words to be candidates, or none, are grouped with rows of the same words, and have no links."""
+    member = materialize(classes(df, key, columns, o, every=True).drop("n"), "neardup-classes")
     linked = materialize(class_pairs(df, columns, o).drop("likeness"), "neardup-links")
     ends = linked.select(F.struct(F.col("a").alias("class"), F.col("check_a").alias("check")).alias("a"), F.struct(F.col("b").alias("class"), F.col("check_b").alias("check")).alias("b"))
     parts = components(ends, "a", "b").select("node.class", "node.check", "component")

@@ -79,3 +79,9 @@ def test_a_crowd_in_one_variant_loses_nothing():
     keys, sig = np.arange(n), np.zeros((n, 2), np.uint64)
     blob = [__import__("paperloom.llm.neardup", fromlist=["x"])._blob(keys, sig, np.zeros(n, np.uint32), np.arange(n))]
     assert len(_meet(blob, 0)) == n * (n - 1) // 2
+
+
+def test_short_and_empty_rows_have_a_group(spark):
+    rows = [(1, "On nets", None), (2, "On", "Nets!"), (3, "On graphs", ""), (4, None, None), (5, "", " "), (6, "", texts(3, 1, 0)[0])]
+    got = {r.k: (r.group, r.copies, r.links) for r in row_groups(frame(spark, rows), "k", ["title", "abstract"]).collect()}
+    assert got == {1: (1, 2, 0), 2: (1, 2, 0), 3: (3, 1, 0), 4: (4, 2, 0), 5: (4, 2, 0), 6: (6, 1, 0)}
