@@ -61,7 +61,6 @@ JOINS = re.compile(r"\s*,?\s+(?:and|&)\s+")
 class PackedOptions:
     max_forms: int = 20_000
     rounds: int = 3
-    longest_join: int = 4
 
 
 @lru_cache(200_000)
@@ -162,8 +161,8 @@ def _finish(pieces: Iterable[str], kept: list[str]) -> list[str]:
 class Parser:
     """Enumerates the parses of a field; with code lengths, picks the cheapest."""
 
-    def __init__(self, codes: dict[str, float] | None, escape: float, dialects: dict[str, float] | None, longest_join: int = 4):
-        self.codes, self.escape, self.dialects, self.longest_join = codes, escape, dialects or {}, longest_join
+    def __init__(self, codes: dict[str, float] | None, escape: float, dialects: dict[str, float] | None):
+        self.codes, self.escape, self.dialects = codes, escape, dialects or {}
         self._chosen: dict[str, str | None] = {}
 
     def cost(self, value: str) -> float:
@@ -174,18 +173,25 @@ class Parser:
         return found if found is not None else self.escape + TOKEN_BITS * (1 + f.count(" "))
 
     def _mixed(self, segment: str, kept: list[str]) -> list[str]:
-        """The cheapest choice of separating commas and joining words in one segment."""
+        """The cheapest choice of separating commas and joining words in one segment; a value may join any number of pieces."""
         cuts = list(WEAK.finditer(segment))
         starts = [0, *(m.end() for m in cuts)]
         ends = [*(m.start() for m in cuts), len(segment)]
         best: list[tuple[float, int, list[str]]] = [(0.0, -1, [])]
+        each = 1.0 + math.log2(len(starts))
+        least = [0.0]  # of any start up to this one, the cost before it less the glue saved by starting no earlier
         for j in range(1, len(starts) + 1):
-            options = []
-            for i in range(max(0, j - self.longest_join), j):
-                values = _finish([segment[starts[i] : ends[j - 1]]], kept)
-                glue = (j - 1 - i) * (1.0 + math.log2(len(starts))) if j - 1 > i else 0.0
-                options.append((best[i][0] + sum(map(self.cost, values)) + glue, i, values))
-            best.append(min(options, key=lambda x: (x[0], -x[1])))
+            found: tuple[float, int, list[str]] = (math.inf, -1, [])
+            for i in range(j - 1, -1, -1):
+                if least[i] + (j - 1) * each >= found[0]:
+                    break  # for all starts from here on, glue and what comes before cost too much
+                before = best[i][0] + (j - 1 - i) * each
+                if before < found[0]:
+                    values = _finish([segment[starts[i] : ends[j - 1]]], kept)
+                    if (cost := before + sum(map(self.cost, values))) < found[0]:
+                        found = (cost, i, values)
+            best.append(found)
+            least.append(min(least[-1], found[0] - j * each))
         out: list[list[str]] = []
         j = len(starts)
         while j > 0:
@@ -282,7 +288,7 @@ def learn_codes(df: DataFrame, column: str, options: PackedOptions = PackedOptio
 
     Rows are first counted by skeleton, so each round parses a skeleton once, whatever its rows.
     """
-    parser = Parser(None, 0.0, None, options.longest_join)
+    parser = Parser(None, 0.0, None)
     fields = df.select(F.col(f"`{column}`").cast("string").alias("field")).where("field is not null")
     kinds = fields.mapInArrow(_skeletons, "field string, n bigint").groupBy("field").agg(F.sum("n").alias("n"))
     kinds = materialize(kinds, "field-skeletons")
@@ -300,7 +306,7 @@ def _parser_of(rows: list[tuple[str, str, float]], options: PackedOptions) -> Pa
         if kind == "f":  # a form's own entry costs its tokens, shared by its uses
             spelled = TOKEN_BITS * (1 + f.count(" "))
             lengths["f"][f] = min(lengths["f"][f] + spelled / n, math.log2(total["f"]) + spelled)
-    return Parser(lengths["f"], math.log2(total["f"]), lengths["d"], options.longest_join)
+    return Parser(lengths["f"], math.log2(total["f"]), lengths["d"])
 
 
 def split_packed(df: DataFrame, key: str, column: str, options: PackedOptions = PackedOptions(), value: str = "value", carried: dict[str, Column] | None = None) -> DataFrame:

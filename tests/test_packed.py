@@ -79,3 +79,10 @@ def test_carried_columns(spark):
 
     got = split_packed(packed(spark, ["Ada Lumen; Fay Toller"]), "k", "a", carried={"twice": F.col("k") * 2 + 1})
     assert [(r.value, r.twice) for r in got.orderBy("pos").collect()] == [("Ada Lumen", 1), ("Fay Toller", 1)]
+
+
+def test_a_value_of_many_pieces(spark):
+    long = "Institute for Data, Nets, Graphs, Trees and Words, Solva"
+    parser = learn_codes(packed(spark, corpus() + [f"{long}; {NAMES[i % 10]}" for i in range(400)]), "a", PackedOptions())
+    assert parser.best(f"Ada Lumen, {long}, Fay Toller")[1] == ["Ada Lumen", long, "Fay Toller"]
+    assert parser.best(", ".join(NAMES * 500))[1] == NAMES * 500
