@@ -157,7 +157,7 @@ def cluster_forms(clusters: DataFrame) -> DataFrame:
     letter = F.struct(F.when(F.col("ccc") == 0, -2).otherwise(F.col("ccc")).alias("ccc"), "n", "part")
     bases = materialize(points.groupBy("cid", "base").agg(F.sort_array(F.collect_list(letter)).alias("l")).select("cid", "base", F.transform("l", lambda x: F.struct(x["part"].alias("part"), x["ccc"].alias("ccc"))).alias("l")), "bases")
     # recomposition, one mark at a time, of the distinct sequences that have marks
-    todo = bases.where(F.size("l") > 1).select("l").distinct().select("l", F.get("l", F.lit(0))["part"].alias("cur"), F.slice("l", 2, 1_000_000).alias("marks"))
+    todo = bases.where(F.size("l") > 1).select("l").distinct().select("l", F.get("l", F.lit(0))["part"].alias("cur"), F.slice("l", F.lit(2), F.size("l")).alias("marks"))
     rounds = 3  # no composed character holds more than three marks
     for _ in range(rounds):
         # a mark is blocked by an earlier one of the same class that stays
