@@ -6,7 +6,8 @@
    metric space of the unrestricted Damerau-Levenshtein distance. Every object goes to its nearest pivot; since
    ``d(y, p) <= d(y, home(y)) + 2r`` holds for every partner ``y`` within radius ``r`` of an object of
    pivot ``p``, exactly the objects on that side of the boundary are replicated to ``p``'s cell. An exact
-   radius join runs inside each cell; a cell's own objects are cut into blocks, so no task grows with a cell.
+   radius join runs inside each cell; a cell's own objects are cut into blocks, which bounds a task's index;
+   all objects of the cell are looked up in each block. Below twice ``objects_per_pivot`` objects there is one cell.
 3. Names whose families are partners and whose given names agree (equal, initial, nickname or one edit) are
    candidates. They are linked if they share people they write with, or if those people write with each
    other, or, where a name stands nearly alone, if they work in the same category. A name with initials only
