@@ -1,7 +1,10 @@
-"""Parameters of the search engine."""
+"""Parameters of the search engine, from code, the environment or the command line."""
 
 from __future__ import annotations
 
+import argparse
+import os
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 
@@ -29,6 +32,32 @@ class SearchConfig:
     recall: float = 0.95
     exact_vectors: bool = True
     query_block: int = 4096
+    #: Documents of a shard that one task scores.
+    doc_block: int = 65_536
+    default_top_k: int = 10
 
     def weight(self, field: str) -> float:
         return {"title": self.title_weight, "abstract": self.abstract_weight}[field]
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Where a corpus and its index are, and how the index is built."""
+
+    dataset: str = "papers.jsonl"
+    output: str = "index"
+    shards: int = 8
+    max_docs: int = 0
+
+    @classmethod
+    def read(cls, arguments: Sequence[str] = (), environment: Mapping[str, str] = os.environ) -> Settings:
+        """Options win over DATASET_PATH, INDEX_OUTPUT_DIR and NUM_SHARDS, which win over the defaults."""
+        options = argparse.ArgumentParser(prog="paperloom")
+        options.add_argument("--dataset", default=environment.get("DATASET_PATH", cls.dataset))
+        options.add_argument("--output", default=environment.get("INDEX_OUTPUT_DIR", cls.output))
+        options.add_argument("--shards", type=int, default=int(environment.get("NUM_SHARDS", cls.shards)))
+        options.add_argument("--max-docs", type=int, default=cls.max_docs)
+        found = cls(**vars(options.parse_args(list(arguments))))
+        if found.shards < 1 or found.max_docs < 0:
+            raise ValueError("shards have to be positive, max_docs not negative")
+        return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -25,9 +26,41 @@ def osa(a: str, b: str, most: int | None = None) -> int:
     return row[-1] if most is None else min(row[-1], most + 1)
 
 
+def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
+    text = "".join(w.ljust(width, chr(pad)) for w in words)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(words), width)
+
+
+def osa_many(a: list[str], b: list[str], step: int = 4096) -> np.ndarray:
+    """The distances of ``a[i]`` and ``b[i]``, a cell of all tables at once. Pairs go by length, so that a long word pads few others."""
+    out = np.zeros(len(a), np.int32)
+    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    order = np.argsort(np.maximum(n, m), kind="stable")
+    for i in range(0, len(a), step):
+        at = order[i : i + step]
+        high, wide = int(n[at].max()), int(m[at].max())
+        # two fillers that equal nothing, not even each other
+        x, y = _codes([a[j] for j in at], max(1, high), 0xFFFE).T, _codes([b[j] for j in at], max(1, wide), 0xFFFF).T
+        d = np.zeros((high + 1, wide + 1, len(at)), np.int32)
+        d[:, 0] = np.arange(high + 1)[:, None]
+        d[0] = np.arange(wide + 1)[:, None]
+        for r in range(1, high + 1):
+            for c in range(1, wide + 1):
+                best = np.minimum(np.minimum(d[r - 1, c], d[r, c - 1]) + 1, d[r - 1, c - 1] + (x[r - 1] != y[c - 1]))
+                if r > 1 and c > 1:
+                    swap = (x[r - 1] == y[c - 2]) & (x[r - 2] == y[c - 1])
+                    best = np.where(swap, np.minimum(best, d[r - 2, c - 2] + 1), best)
+                d[r, c] = best
+        out[at] = d[n[at], m[at], np.arange(len(at))]
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    ok = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series([None] * len(a), dtype="Int32")
+    out[ok] = osa_many(a[ok].tolist(), b[ok].tolist())
+    return out
 
 
 def deletions(word: str, most: int) -> set[str]:

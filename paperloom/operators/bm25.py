@@ -2,18 +2,19 @@
 
 Statistics are those of a shard: its document count, average length and inverse document frequencies, the negative ones
 replaced by a share of the shard's mean. Documents without any query word score zero and may still be
-candidates, so each shard's list is filled up with the first of them.
+candidates; ``paperloom.operators.blocks`` finds a shard's best among all of them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import SearchConfig
 from paperloom.functions.text import words
+from paperloom.operators.blocks import asked_only
 
 FIELDS = ("title", "abstract")
 
@@ -33,12 +34,22 @@ def field_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("shard_id", "doc_ord", stacked.alias("x")).select("shard_id", "doc_ord", "x.field", "x.tokens")
 
 
-def bm25_tables(docs: DataFrame, config: SearchConfig = SearchConfig()) -> Bm25Tables:
-    tokens = field_tokens(docs)
-    fields = tokens.groupBy("shard_id", "field").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    # counts within a document are complete before the shuffle, and those of a term combine before theirs, so no word is a hot key
-    flat = tokens.select("shard_id", "doc_ord", "field", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    postings = flat.groupBy("shard_id", "field", "term", "doc_ord").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+def postings_of(docs: DataFrame) -> DataFrame:
+    """``(shard_id, field, term, doc_ord, tf, doc_len)``: counts within a document are complete before any shuffle, so no word is a hot key."""
+    sorted_ = field_tokens(docs).select("shard_id", "doc_ord", "field", F.size("tokens").alias("doc_len"), F.sort_array("tokens").alias("ts"))
+    # of sorted tokens, a term's count is the distance from its first place to the next term's
+    ends = F.filter(F.sequence(F.lit(1), F.col("doc_len")), lambda i: (i == F.col("doc_len")) | (F.get("ts", i) != F.get("ts", i - 1)))
+    runs = sorted_.where("doc_len > 0").select("shard_id", "field", "doc_ord", "doc_len", "ts", ends.alias("ends"))
+    each = F.transform("ends", lambda e, i: F.struct(F.get("ts", e - 1).alias("term"), (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("bigint").alias("tf")))
+    return runs.select("shard_id", "field", "doc_ord", "doc_len", F.explode(each).alias("x")).select("shard_id", "field", "x.term", "doc_ord", "x.tf", "doc_len")
+
+
+def bm25_tables(docs: DataFrame, config: SearchConfig = SearchConfig(), postings: DataFrame | None = None) -> Bm25Tables:
+    """From the documents, or from stored ``postings`` of them, which saves reading their texts again."""
+    postings = postings_of(docs) if postings is None else postings
+    every = docs.groupBy("shard_id").agg(F.count("*").alias("n_docs")).withColumn("field", F.explode(F.array(*map(F.lit, FIELDS))))
+    lengths = postings.groupBy("shard_id", "field").agg(F.sum("tf").alias("tokens"))
+    fields = every.join(lengths, ["shard_id", "field"], "left").select("shard_id", "field", "n_docs", (F.coalesce("tokens", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
     seen = postings.groupBy("shard_id", "field", "term").agg(F.count("*").alias("df"))
     raw = seen.join(F.broadcast(fields), ["shard_id", "field"]).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # two rows a shard
     mean = raw.groupBy("shard_id", "field").agg(F.avg("raw").alias("mean_idf"))
@@ -55,12 +66,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _contributions(tables: Bm25Tables, queries: DataFrame, config: SearchConfig) -> DataFrame:
     """``(query_id, shard_id, doc_ord, field, part)``: what each query word adds to a document's field."""
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    # the words asked for prune the postings before they meet the statistics
-    found = tables.postings.join(wanted, "term", "left_semi").join(tables.terms.join(wanted, "term", "left_semi"), ["shard_id", "field", "term"]).join(F.broadcast(tables.fields.select("shard_id", "field", "avgdl")), ["shard_id", "field"])  # two rows a shard
-    relative = F.coalesce(F.try_divide(F.col("doc_len").cast("double"), F.col("avgdl")), F.lit(0.0))
-    weight = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * relative))
-    return found.withColumn("w", weight).join(asked, "term").select("query_id", "shard_id", "doc_ord", "field", (F.col("times") * F.col("w")).alias("part"))
+    # the words asked for prune the scan of the lists and of the statistics before these meet
+    lists, terms = asked_only(queries.select(words(F.col("query")).alias("terms")), tables.postings, tables.terms)
+    found = lists.join(terms, ["shard_id", "field", "term"]).join(F.broadcast(tables.fields.select("shard_id", "field", "avgdl")), ["shard_id", "field"])  # two rows a shard
+    return found.withColumn("w", _weight(config)).join(asked, "term").select("query_id", "shard_id", "doc_ord", "field", (F.col("times") * F.col("w")).alias("part"))
 
 
 def bm25_hits(tables: Bm25Tables, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -68,14 +77,16 @@ def bm25_hits(tables: Bm25Tables, queries: DataFrame, config: SearchConfig = Sea
     return _contributions(tables, queries, config).groupBy("query_id", "shard_id", "doc_ord", "field").agg(F.sum("part").alias("score"))
 
 
-def bm25_scores(tables: Bm25Tables, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """``(query_id, shard_id, doc_ord, raw)``, laid out by query and shard, as everything that follows needs it.
-
-    One word's postings meet another's only here, so nothing combines before this shuffle, and none is needed after.
-    """
+def impacts_of(tables: Bm25Tables, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """``(shard_id, term, doc_ord, w)``: inverted lists with what an occurrence of the term in a query adds to the document's weighted score."""
     weight = F.when(F.col("field") == "title", config.title_weight).otherwise(config.abstract_weight)
-    flat = _contributions(tables, queries, config).select("query_id", "shard_id", "doc_ord", (weight * F.col("part")).alias("part"))
-    return flat.repartition("query_id", "shard_id").groupBy("query_id", "shard_id", "doc_ord").agg(F.sum("part").alias("raw"))
+    found = tables.postings.join(tables.terms, ["shard_id", "field", "term"]).join(F.broadcast(tables.fields.select("shard_id", "field", "avgdl")), ["shard_id", "field"])  # two rows a shard
+    return found.select("shard_id", "term", "doc_ord", (weight * _weight(config)).alias("w"))
+
+
+def _weight(config: SearchConfig) -> Column:
+    relative = F.coalesce(F.try_divide(F.col("doc_len").cast("double"), F.col("avgdl")), F.lit(0.0))
+    return F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * relative))
 
 
 def bm25_weighted(hits: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -84,31 +95,10 @@ def bm25_weighted(hits: DataFrame, config: SearchConfig = SearchConfig()) -> Dat
     return hits.groupBy("query_id", "shard_id", "doc_ord").agg(F.sum(weight * F.col("score")).alias("raw"))
 
 
-def bm25_normalized(weighted: DataFrame, queries: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(.., bm25)`` of scored documents, and ``(query_id, shard_id, n_docs, top, scored, positive)`` of every query and shard.
-
-    Scores are divided by the shard's greatest plus 1e-9; a document without a score counts as zero in it.
-    """
+def bm25_normalized(weighted: DataFrame, fields: DataFrame) -> DataFrame:
+    """``(query_id, shard_id, doc_ord, bm25)`` of scored documents: scores divided by their shard's greatest plus 1e-9, in which a
+    document without a score counts as zero."""
     shards = fields.where("field = 'title'").select("shard_id", "n_docs")
-    seen = weighted.groupBy("query_id", "shard_id").agg(F.max("raw").alias("most"), F.count("*").alias("scored"), F.sum((F.col("raw") > 0).cast("long")).alias("positive"))
-    every = queries.select("query_id").distinct().join(F.broadcast(shards)).join(seen, ["query_id", "shard_id"], "left")
-    zero = F.when(F.coalesce("scored", F.lit(0)) < F.col("n_docs"), F.lit(0.0))
-    every = every.select("query_id", "shard_id", "n_docs", F.greatest(zero, "most").alias("top"), F.coalesce("scored", F.lit(0)).alias("scored"), F.coalesce("positive", F.lit(0)).alias("positive"))
-    scaled = weighted.join(every.select("query_id", "shard_id", "top"), ["query_id", "shard_id"]).select("query_id", "shard_id", "doc_ord", (F.col("raw") / (F.col("top") + 1e-9)).alias("bm25"))
-    return scaled, every
-
-
-def bm25_candidates(scaled: DataFrame, every: DataFrame, k: int, fill: DataFrame | None = None) -> DataFrame:
-    """``(query_id, shard_id, doc_ord, bm25, place)``: each shard's best k, documents without a score included.
-
-    Of those, only the first ones by position can be among the k, so no shard is joined with all queries in full.
-    With ``fill (query_id)`` they are generated for these queries only.
-    """
-    if fill is not None:
-        every = every.join(fill, "query_id", "left_semi")
-    short = every.where(F.col("positive") < k).where(F.col("scored") < F.col("n_docs"))
-    reach = F.least(F.col("n_docs"), F.col("scored") + k)
-    blank = short.select("query_id", "shard_id", F.explode(F.sequence(F.lit(0), (reach - 1).cast("int"))).alias("doc_ord")).join(scaled.select("query_id", "shard_id", "doc_ord"), ["query_id", "shard_id", "doc_ord"], "left_anti")
-    rows = scaled.unionByName(blank.withColumn("bm25", F.lit(0.0)))
-    best = Window.partitionBy("query_id", "shard_id").orderBy(F.desc(F.round("bm25", 9)), "doc_ord")
-    return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    seen = weighted.groupBy("query_id", "shard_id").agg(F.max("raw").alias("most"), F.count("*").alias("scored")).join(F.broadcast(shards), "shard_id")  # a row per shard
+    tops = seen.select("query_id", "shard_id", F.greatest(F.when(F.col("scored") < F.col("n_docs"), F.lit(0.0)), "most").alias("top"))
+    return weighted.join(tops, ["query_id", "shard_id"]).select("query_id", "shard_id", "doc_ord", (F.col("raw") / (F.col("top") + 1e-9)).alias("bm25"))

@@ -39,14 +39,19 @@ def authors_list(authors: Column) -> Column:
     return F.when(authors.isNull(), F.array().cast("array<string>")).when(trimmed.startswith("[") & listed.isNotNull(), listed).otherwise(F.array(authors))
 
 
-def shard_corpus(papers: DataFrame, shards: int = 8, max_docs: int = 0) -> DataFrame:
+def shard_corpus(papers: DataFrame, shards: int = 8, max_docs: int = 0, lines: int | None = None) -> DataFrame:
     """``(shard_id, doc_ord, line_no, id, title, abstract, authors, pdf_url, categories)``, nulls in texts made empty.
 
-    Shard bounds follow from the number of lines, those without a record included; ``max_docs`` caps lines, 0 takes all.
+    Shard bounds follow from the number of ``lines``, those without a record included, as ``read_corpus`` counts them; where
+    it is not given, the last record is taken for the last line. ``max_docs`` caps lines, 0 takes all.
     """
-    lines = papers.where(F.col("line_no") < max_docs) if max_docs > 0 else papers
-    total = lines.agg((F.max("line_no") + 1).alias("_total"))
-    placed = lines.join(F.broadcast(total)).withColumn("shard_id", shard_of(F.col("line_no"), F.col("_total"), shards))  # one row
+    if max_docs > 0:
+        papers, lines = papers.where(F.col("line_no") < max_docs), None if lines is None else min(lines, max_docs)
+    if lines is None:
+        total = papers.agg((F.max("line_no") + 1).alias("_total"))
+        placed = papers.join(F.broadcast(total)).withColumn("shard_id", shard_of(F.col("line_no"), F.col("_total"), shards)).drop("_total")  # one row
+    else:
+        placed = papers.withColumn("shard_id", shard_of(F.col("line_no"), max(1, lines), shards))
     numbered = dense_positions(placed, "shard_id", "line_no", "doc_ord")
     return numbered.select(
         "shard_id",

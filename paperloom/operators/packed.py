@@ -12,8 +12,9 @@ joining words do (``keep``: part of a value, ``split``: always separate, ``join`
 2. The counts give each form a code length. A parse costs the code lengths of its values plus those of its
    dialect. Every field is then parsed with its cheapest dialect.
 
-The code table sent to the executors has at most ``max_forms`` entries (the most frequent forms); all other
-forms share an escape code priced by length, so no field is left unparsed.
+The code table sent to the executors has at most ``max_forms`` forms (the most frequent ones) and all dialects; other forms, whose
+number is ``Parser.escaped``, count in the totals and share an escape code priced by length, so no field is left unparsed, and
+the codes of frequent forms do not depend on the bound.
 
 Edge cases: null, blank and value-free fields give no rows; null keys are kept; repeated rows give repeated
 output; an empty table gives an empty result; extra columns are never read. A field of any length is parsed
@@ -164,6 +165,8 @@ class Parser:
     def __init__(self, codes: dict[str, float] | None, escape: float, dialects: dict[str, float] | None):
         self.codes, self.escape, self.dialects = codes, escape, dialects or {}
         self._chosen: dict[str, str | None] = {}
+        #: Forms of the table that have no entry of their own.
+        self.escaped = 0
 
     def cost(self, value: str) -> float:
         f = form(value)
@@ -291,16 +294,22 @@ def learn_codes(df: DataFrame, column: str, options: PackedOptions = PackedOptio
     parser = Parser(None, 0.0, None)
     fields = df.select(F.col(f"`{column}`").cast("string").alias("field")).where("field is not null")
     kinds = fields.mapInArrow(_skeletons, "field string, n bigint").groupBy("field").agg(F.sum("n").alias("n"))
-    kinds = materialize(kinds, "field-skeletons")
+    # as many files as cores, for a round of parsing is work, however small the table
+    kinds = materialize(kinds.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "field"), "field-skeletons")
     for _ in range(options.rounds):
         counted = kinds.mapInArrow(lambda it, p=parser: _count(it, p), "kind string, code string, n double").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-        rows = counted.orderBy(F.desc("n"), "kind", "code").limit(options.max_forms).collect()
-        parser = _parser_of([(r.kind, r.code, r.n) for r in rows], options)
+        counted = materialize(counted, "field-codes")
+        total = {r.kind: (r.n, r.codes) for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("codes")).collect()}  # two rows
+        # dialects are few by their making and never cut
+        rows = counted.where("kind = 'd'").unionByName(counted.where("kind = 'f'").orderBy(F.desc("n"), "code").limit(options.max_forms)).collect()
+        parser = _parser_of([(r.kind, r.code, r.n) for r in rows], {k: n for k, (n, _) in total.items()})
+        parser.escaped = max(0, total.get("f", (0.0, 0))[1] - options.max_forms)
     return parser
 
 
-def _parser_of(rows: list[tuple[str, str, float]], options: PackedOptions) -> Parser:
-    total = {k: sum(n for kind, _, n in rows if kind == k) + 1.0 for k in "fd"}
+def _parser_of(rows: list[tuple[str, str, float]], counted: dict[str, float]) -> Parser:
+    """Code lengths from the counts of ``rows``; ``counted`` are the totals of all forms and dialects, those without an entry included."""
+    total = {k: counted.get(k, 0.0) + 1.0 for k in "fd"}
     lengths = {k: {code: -math.log2(n / total[k]) for kind, code, n in rows if kind == k} for k in "fd"}
     for kind, f, n in rows:
         if kind == "f":  # a form's own entry costs its tokens, shared by its uses

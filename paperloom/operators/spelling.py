@@ -1,20 +1,25 @@
 """Spelling correction against the words of the titles, by a join on shortened words.
 
-Two words within edit distance d share a string that is left when up to d letters are deleted from each, so candidates
-come from an equality join of the deletion neighbourhoods (Bocek et al., 2007); the exact distance then decides.
+Two words within edit distance d share a string that is left when up to d letters are deleted from each, and so do their first
+``PREFIX`` letters (or one of those and less of the other); so candidates come from an equality join of the deletion
+neighbourhoods of prefixes (Bocek et al., 2007), at most 37 a word whatever its length, and the exact distance then decides.
+The correction of several words follows the rules of the public symmetric-delete spelling method (SymSpell, W. Garbe, 2012):
+words are corrected one by one, joined with their neighbour or split in two, whichever is nearest.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import SearchConfig
 from paperloom.functions.spelling import deletions, osa, osa_distance
 from paperloom.functions.text import words
+from paperloom.runtime import materialize, settle
 
 #: The corpus size that frequencies of split words are divided by (public word-frequency lists count 2**40 words or so).
 SPLIT_SCALE = 1024908267229
@@ -25,44 +30,58 @@ def word_frequency(docs: DataFrame, column: str = "title") -> DataFrame:
     return docs.select(F.explode(words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
+#: Letters of a word that its deletion neighbourhood is made of.
+PREFIX = 8
+
+
 def _neighbourhood(df: DataFrame, column: str, most: int) -> DataFrame:
-    """A row for each shortened form of ``column``; words are expanded once each, whatever their number of rows."""
+    """A row for each shortened form of the first letters of ``column``; words are expanded once each, whatever their number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [sorted(deletions(w[:PREFIX], most)) for w in b.column(0).to_pylist()]
+            at = pa.array([i for i, x in enumerate(lists) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([s for x in lists for s in x], pa.string())], names=[column, "short"])
+
+    return df.select(column).where(F.col(column).isNotNull()).distinct().mapInArrow(run, f"{column} string, short string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            lists = [sorted(deletions(w, most)) for w in f[column]]
-            yield pd.DataFrame({column: f[column].repeat([len(x) for x in lists]), "short": [s for x in lists for s in x]})
 
-    return df.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"{column} string, short string")
+def shortened(dictionary: DataFrame, most: int = 2) -> DataFrame:
+    """``(word, freq, length, short)``: the dictionary's deletion neighbourhoods, to be stored with an index."""
+    return _neighbourhood(dictionary, "word", most).join(dictionary.select("word", "freq"), "word").select("word", "freq", F.length("word").alias("length"), "short")
 
 
-def lookup(terms: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
+def lookup(terms: DataFrame, dictionary: DataFrame, most: int = 2, near: DataFrame | None = None) -> DataFrame:
     """``(term, word, distance, freq)``: the best word of each ``term`` that has one within ``most`` edits.
 
-    Best is nearest, then most frequent, then first in order. Terms are taken as they are, not lower-cased.
+    Best is nearest, then most frequent, then first in order. Terms are taken as they are, not lower-cased. A term that the
+    dictionary has is its own best. ``near`` are stored neighbourhoods (``shortened``).
     """
-    left = _neighbourhood(terms, "term", most)
-    right = _neighbourhood(dictionary, "word", most)
-    near = left.join(right, "short").select("term", "word").distinct()
-    # the built-in distance counts a swap twice, so it prunes at twice the limit
-    near = near.where(F.levenshtein("term", "word", 2 * most) >= 0).withColumn("distance", osa_distance("term", "word")).where(F.col("distance") <= most)
-    ranked = near.join(dictionary.select("word", "freq"), "word").groupBy("term").agg(F.min(F.struct("distance", (-F.col("freq")).alias("f"), "word")).alias("best"))
-    return ranked.select("term", "best.word", "best.distance", (-F.col("best.f")).alias("freq"))
+    near = shortened(dictionary, most) if near is None else near
+    terms = terms.select("term").where("term is not null").distinct()
+    longest = dictionary.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("_longest"))
+    held = terms.join(dictionary.select(F.col("word").alias("term"), "freq"), "term", "left")
+    known = held.where("freq is not null").select("term", F.col("term").alias("word"), F.lit(0).alias("distance"), "freq")
+    # a term that is longer than any word by more than the limit has no partner
+    unknown = held.where("freq is null").join(F.broadcast(longest)).where(F.length("term") <= F.col("_longest") + most).select("term")  # one row
+    found = _neighbourhood(unknown, "term", most).join(near, "short").where(F.abs(F.length("term") - F.col("length")) <= most)
+    # the built-in distance counts a swap twice, so it prunes at twice the limit; a short distance by it is the distance
+    plain = F.levenshtein("term", "word", 2 * most)
+    found = found.select("term", "word", "freq").distinct().withColumn("plain", plain).where("plain >= 0")
+    ranked = found.withColumn("distance", osa_distance("term", "word")).where(F.col("distance") <= most).groupBy("term").agg(F.min(F.struct("distance", (-F.col("freq")).alias("f"), "word")).alias("best"))
+    return ranked.select("term", "best.word", "best.distance", (-F.col("best.f")).alias("freq")).unionByName(known)
 
 
-def _parts(query: str) -> list[str]:
-    import re
+TERM = re.compile(r"\w+")
 
-    ws = re.findall(r"\w+", query.lower())
-    cuts = [p for w in ws for i in range(1, len(w)) for p in (w[:i], w[i:])]
-    return sorted({*ws, *(a + b for a, b in zip(ws, ws[1:], strict=False)), *cuts})
+
+def _cuts(word: str) -> list[str]:
+    return [p for i in range(1, len(word)) for p in (word[:i], word[i:])]
 
 
 def compound(query: str, found: dict[str, tuple[str, int, float]], most: int) -> str:
     """A query's words corrected, joined with their neighbour or split, given the lookups of all parts."""
-    import re
-
-    ws = re.findall(r"\w+", query.lower())
+    ws = TERM.findall(query.lower())
     out: list[tuple[str, int, float]] = []
     joined = False
     unknown = lambda w: (w, most + 1, 10 / 10 ** min(300, len(w)))
@@ -95,32 +114,49 @@ def compound(query: str, found: dict[str, tuple[str, int, float]], most: int) ->
     return " ".join(x[0] for x in out)
 
 
-def correct(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+def correct(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = SearchConfig(), near: DataFrame | None = None) -> DataFrame:
     """``(query_id, query, corrected)``: the query to run; the query as typed where correction only repeats it in lower case.
 
-    All words, joined neighbours and splits of all queries are looked up in one join.
+    All words and joined neighbours of all queries, and the splits of words that the dictionary lacks, are looked up in one join.
+    Pieces that are longer than any word by more than the limit are never made.
     """
     most = config.max_edit_distance
     typed = queries.select("query_id", "query").where("query is not null")
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            lists = [_parts(q) for q in f["query"]]
-            yield pd.DataFrame({"query": f["query"].repeat([len(x) for x in lists]), "term": [p for x in lists for p in x]})
-
-    parts = typed.select("query").distinct().mapInPandas(split, "query string, term string")
-    best = lookup(parts.select("term"), dictionary, most)
+    asked = settle(typed.select("query").distinct(), "spelled-queries")
+    longest = (dictionary.agg(F.max(F.length("word"))).first()[0] or 0) + most
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, alone = [], [], []
+            for i, q in enumerate(b.column(0).to_pylist()):
+                ws = TERM.findall(q.lower())
+                for t, one in [*((w, True) for w in dict.fromkeys(ws)), *((a + b_, False) for a, b_ in dict.fromkeys(zip(ws, ws[1:], strict=False)))]:
+                    rows.append(i)
+                    terms.append(t)
+                    alone.append(one)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(alone, pa.bool_())], names=["query", "term", "alone"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [[p for p in _cuts(t) if len(p) <= longest] if len(t) <= 2 * longest else [] for t in b.column(1).to_pylist()]
+            at = pa.array([i for i, x in enumerate(lists) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([p for x in lists for p in x], pa.string())], names=["query", "term"])
+
+    words_ = materialize(asked.mapInArrow(split, "query string, term string, alone boolean"), "spelled-words")
+    unknown = words_.where("alone").join(dictionary.select(F.col("word").alias("term")), "term", "left_anti").select("query", "term")
+    parts = materialize(words_.select("query", "term").unionByName(unknown.mapInArrow(cut, "query string, term string")).distinct(), "spelled-parts")
+    best = lookup(parts.select("term"), dictionary, most, near)
     gathered = parts.join(best, "term").groupBy("query").agg(F.collect_list(F.struct("term", "word", "distance", "freq")).alias("found"))
-    texts = typed.select("query").distinct().join(gathered, "query", "left")
+    texts = asked.join(gathered, "query", "left")
 
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for q, found in zip(f["query"], f["found"], strict=True):
-                known = {x["term"]: (x["word"], int(x["distance"]), float(x["freq"])) for x in (found if found is not None else [])}
+            for q, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                known = {x["term"]: (x["word"], x["distance"], float(x["freq"])) for x in found or ()}
                 c = compound(q, known, most)
                 out.append(c if c and c != q.lower() else q)
-            yield pd.DataFrame({"query": f["query"], "corrected": out})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["query", "corrected"])
 
-    chosen = texts.mapInPandas(choose, "query string, corrected string")
+    chosen = texts.select("query", "found").mapInArrow(choose, "query string, corrected string")
     return typed.join(chosen, "query").select("query_id", "query", "corrected")

@@ -1,4 +1,4 @@
-"""Title suggestions for a typed prefix."""
+"""Title suggestions for a typed prefix, from a stored table."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from paperloom.functions.text import starts
 
 
 def suggestion_table(docs: DataFrame) -> DataFrame:
-    """``(title_lower, title, shard_id, doc_ord)``: a stored lower-cased column lets a prefix filter reach the scan."""
+    """``(title_lower, title, shard_id, doc_ord)``. An index stores it sorted, so that a prefix filter reaches the scan and skips row groups."""
     return docs.where("title <> ''").select(F.lower("title").alias("title_lower"), "title", "shard_id", "doc_ord")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom.config import SearchConfig
+from paperloom.operators.blocks import nearest_in_blocks, stack
 from paperloom.runtime import materialize
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
@@ -29,22 +30,22 @@ class HashingEmbedder:
 
     def __init__(self, dim: int = 64):
         self.dim = dim
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known: dict[str, int] = {}
 
-    def _place(self, word: str) -> tuple[int, float]:
-        if (p := self.known.get(word)) is None:
-            h = hashlib.md5(word.encode()).hexdigest()
-            if len(self.known) > 500_000:
-                self.known.clear()
-            p = self.known[word] = (int(h[:2], 16) % self.dim, 1.0 if h[2] < "8" else -1.0)
-        return p
+    def _place(self, word: str) -> int:
+        h = hashlib.md5(word.encode()).hexdigest()
+        return (int(h[:2], 16) % self.dim) * 2 + (h[2] >= "8")
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            for w in WORD.findall((t or "").lower()):
-                k, s = self._place(w)
-                out[i, k] += s
+        found = [WORD.findall((t or "").lower()) for t in texts]
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in {w for ws in found for w in ws} - self.known.keys():
+            self.known[w] = self._place(w)
+        places = np.fromiter((self.known[w] for ws in found for w in ws), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in found]) if len(texts) else np.zeros(0, np.int64)
+        counts = np.bincount(row * 2 * self.dim + places, minlength=len(texts) * 2 * self.dim).reshape(len(texts), self.dim, 2)
+        out = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
         n = np.sqrt((out**2).sum(1, keepdims=True))
         return np.divide(out, n, out=out, where=n > 0)
 
@@ -64,66 +65,14 @@ def embed(df: DataFrame, text: str, name: str = "vector", embedder: Embedder | N
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    width = len(column[0]) if len(column) else 0
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
-
-
-def nearest_per_shard(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def nearest_per_shard(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = 4096, doc_block: int = 65_536) -> DataFrame:
     """``(query_id, shard_id, doc_ord, distance, place)``: each shard's k nearest of ``vectors (shard_id, doc_ord, vector)``
-    for ``queries (query_id, vector)``, by squared L2 distance, exact.
-
-    Queries are a stated set: they are broadcast in blocks of at most ``block`` and held against all rows of a task as
-    a matrix product; a task sends on its k nearest (and ties) per query and shard only.
-    """
-    spark = vectors.sparkSession
-    rows = [(r.query_id, r.vector) for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator()]
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    id_arrow = to_arrow_type(queries.schema["query_id"].dataType)
-    schema = f"query_id {id_type}, shard_id int, doc_ord int, distance double"
-    parts = []
-    for at in range(0, max(1, len(rows)), block):
-        ids = [r[0] for r in rows[at : at + block]]
-        held = spark.sparkContext.broadcast(np.array([r[1] for r in rows[at : at + block]], np.float64).reshape(len(ids), len(rows[0][1]) if rows else 0))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, ids=ids) -> Iterator[pa.RecordBatch]:
-            q = held.value
-            qq = (q**2).sum(1)
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                x, shard, order = _stack(b.column(2)), b.column(0).to_numpy(), b.column(1).to_numpy()
-                for s in np.unique(shard):
-                    mine = shard == s
-                    d = np.round(np.maximum(0.0, qq[:, None] + (x[mine] ** 2).sum(1)[None, :] - 2 * q @ x[mine].T), 9)
-                    o = np.broadcast_to(order[mine], d.shape)
-                    if s in best:
-                        d, o = np.concatenate((best[s][0], d), 1), np.concatenate((best[s][1], o), 1)
-                    if d.shape[1] > k:  # the k first by distance, then position
-                        pick = _first(d, o, k)
-                        d, o = np.take_along_axis(d, pick, 1), np.take_along_axis(o, pick, 1)
-                    best[s] = (d, np.ascontiguousarray(o))
-            for s, (d, o) in best.items():
-                n = d.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow).take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(np.full(d.size, s, np.int32)), pa.array(o.ravel().astype(np.int32)), pa.array(d.ravel())], names=["query_id", "shard_id", "doc_ord", "distance"])
-
-        parts.append(vectors.select("shard_id", "doc_ord", "vector").where("vector is not null").mapInArrow(run, schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    for ``queries (query_id, vector)``, by squared L2 distance, exact; queries are a stated set, held against all rows in blocks."""
+    found = nearest_in_blocks(vectors, queries, k, doc_block, query_block)
     best = Window.partitionBy("query_id", "shard_id").orderBy("distance", "doc_ord")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
-def _first(d: np.ndarray, o: np.ndarray, k: int) -> np.ndarray:
-    """The places of each row's k least by ``d`` (of nine digits), then ``o``."""
-    if d.size and (d.max() > 4.2 or o.max() >= 1 << 30):
-        return np.lexsort((o, d), axis=1)[:, :k]
-    # both in one integer, so that a partial selection breaks ties as a full sort would
-    return np.argpartition((np.rint(d * 1e9).astype(np.int64) << 30) | o, k - 1, axis=1)[:, :k]
-
-
 def cells_of(n: int) -> int:
     """The number of cells of a shard's inverted file: the square root of its size, within 16 and 4096."""
     return max(16, min(4096, int(n**0.5)))
@@ -180,13 +129,13 @@ class CellIndex:
             for b in batches:
                 shard, cell = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int32)
                 if b.num_rows:
-                    x = _stack(b.column(2))
+                    x = stack(b.column(2))
                     for s in np.unique(shard):
                         cell[shard == s] = _closest(x[shard == s], centres[int(s)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["shard_id", "doc_ord", "vector", "cell"])
 
         kept = vectors.select("shard_id", "doc_ord", "vector")
-        self.rows = kept.mapInArrow(assign, T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType())]))
+        self.rows = materialize(kept.mapInArrow(assign, T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType())])), "cell-rows")
 
     def _nearest_cells(self, q: np.ndarray, shard: int) -> np.ndarray:
         c = self.centres[shard]
@@ -204,7 +153,7 @@ class CellIndex:
             self.calibrated |= dict.fromkeys(depths, (1, 1.0))
             return
         held = spark.createDataFrame([(i, *q) for i, q in enumerate(queries)], "query_id int, own_shard int, own_ord int, vector array<double>")
-        near = nearest_per_shard(self.rows, held, most + 1).join(F.broadcast(held.drop("vector")), "query_id")
+        near = nearest_per_shard(self.rows, held, most + 1, self.config.query_block, self.config.doc_block).join(F.broadcast(held.drop("vector")), "query_id")
         near = near.where(~F.coalesce((F.col("shard_id") == F.col("own_shard")) & (F.col("doc_ord") == F.col("own_ord")), F.lit(False)))
         near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "shard_id").orderBy("distance", "doc_ord")))
         near = near.select("query_id", "shard_id", "doc_ord", "place").join(self.rows.select("shard_id", "doc_ord", "cell"), ["shard_id", "doc_ord"])
@@ -276,7 +225,7 @@ class CellIndex:
                 for b in batches:
                     if not b.num_rows:
                         continue
-                    x, shard, place, cell = _stack(b.column(2)), b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
+                    x, shard, place, cell = stack(b.column(2)), b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
                     by_cell = np.lexsort((cell, shard))
                     edges = np.flatnonzero((np.diff(shard[by_cell]) != 0) | (np.diff(cell[by_cell]) != 0)) + 1
                     for mine in np.split(by_cell, edges):

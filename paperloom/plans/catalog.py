@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.config import SearchConfig
 from paperloom.functions.text import latex_to_words, squeeze, strip, words
 from paperloom.functions.vector import l2_normalize, norm, similarity_of_distance, squared_distance
 from paperloom.operators import search as ops
-from paperloom.operators.bm25 import Bm25Tables, bm25_candidates, bm25_hits, bm25_normalized, bm25_tables, bm25_weighted, field_tokens, query_terms
+from paperloom.operators.bm25 import Bm25Tables, bm25_hits, bm25_normalized, bm25_tables, bm25_weighted, field_tokens, query_terms
 from paperloom.operators.corpus import authors_list, shard_corpus, shard_order
 from paperloom.operators.etl import cap_categories, display, has_category, in_categories, nfkd_ascii, pdf_link
 from paperloom.operators.packed import split_packed
 from paperloom.operators.spelling import correct, lookup, word_frequency
 from paperloom.operators.vectors import CellIndex, embed, nearest_per_shard
-from paperloom.plans.engine import autocomplete_many, build_index, search_many
+from paperloom.plans.engine import SearchEngine, autocomplete_many, build_indexes, search_many
 from paperloom.plans.sql import oracle_sql
-from paperloom.runtime import table, tables
-from paperloom.sources.jsonl import parse_lines
+from paperloom.runtime import kept, table, tables
+from paperloom.sources.index_store import read_index
+from paperloom.sources.jsonl import parse_lines, read_corpus
 from paperloom.streaming.ingest import request_windows, run_to_table, stream_table
 
 __all__ = ["flagship", "oracle_sql", "queries"]
@@ -45,7 +46,23 @@ def _one(spark: SparkSession, text: str = QUERY) -> DataFrame:
     return spark.createDataFrame([(text, text)], "query_id string, query string")
 
 
+def index_path(spark: SparkSession, d: str) -> str:
+    """The stored index of a data folder's papers, built once; all searches read it."""
+    return kept(spark, "index", f"{d}/papers.parquet", lambda path: build_indexes(table(spark, d, "papers"), path, CONFIG))
+
+
+_OPENED: dict[str, ops.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> ops.Index:
+    path = index_path(spark, d)
+    if path not in _OPENED or _OPENED[path].docs.sparkSession is not spark:
+        _OPENED[path] = read_index(spark, path)
+    return _OPENED[path]
+
+
 def _bm25(spark: SparkSession, d: str) -> Bm25Tables:
+    """The tables of BM25 as plans over the papers: what is built, for the queries that show it."""
     return bm25_tables(_docs(spark, d), CONFIG)
 
 
@@ -56,7 +73,16 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The supplied vector of each paper line, scaled to length one: the usable row of the least number of its id."""
+    """The supplied vector of each paper line, stored once."""
+
+    def make(path: str) -> None:
+        _place_vectors(spark, d).write.parquet(path)
+
+    return spark.read.parquet(kept(spark, "supplied-vectors", f"{d}/paper_vectors.parquet", make))
+
+
+def _place_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled to length one: the usable row of the least number of each paper's id."""
     rows = table(spark, d, "paper_vectors").where("size(embedding) = 64 and paper_id is not null").where(F.forall("embedding", lambda x: x.isNotNull()))
     first = rows.where(norm(F.col("embedding")) > 0).groupBy("paper_id").agg(F.min_by("embedding", "vec_no").alias("embedding"))
     unit = first.select(F.col("paper_id").alias("id"), l2_normalize(F.col("embedding")).alias("vector"))
@@ -77,9 +103,26 @@ def _first_vector(spark: SparkSession, d: str) -> tuple[float, ...]:
 def jsonl_parse(spark: SparkSession, d: str) -> DataFrame:
     """Papers as JSON lines, with a blank line for each missing title and a broken one for each missing abstract."""
     papers = table(spark, d, "papers")
+    return parse_lines(papers.select("line_no", _line_of(papers).alias("value"))).select("line_no", "id", "title", "abstract", "authors", "pdf_url", "categories")
+
+
+def _line_of(papers: DataFrame) -> Column:
     whole = F.to_json(F.struct("id", "title", "abstract", "authors", "pdf_url", "categories"))
-    value = F.when(F.col("title").isNull(), F.lit("   ")).when(F.col("abstract").isNull(), F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
-    return parse_lines(papers.select("line_no", value.alias("value"))).select("line_no", "id", "title", "abstract", "authors", "pdf_url", "categories")
+    return F.when(F.col("title").isNull(), F.lit("   ")).when(F.col("abstract").isNull(), F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+
+
+@query
+def jsonl_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines, and three blank ones, in files that are scanned, numbered and cut into shards."""
+
+    def make(path: str) -> None:
+        papers = table(spark, d, "papers")
+        value = papers.select("line_no", _line_of(papers).alias("value"))
+        blank = papers.agg(F.max("line_no").alias("m")).select(F.explode(F.sequence(F.col("m") + 1, F.col("m") + 3)).alias("line_no"), F.lit("").alias("value"))
+        value.unionByName(blank).sort("line_no").select("value").write.text(path)
+
+    papers, lines = read_corpus(spark, kept(spark, "json-lines", f"{d}/papers.parquet", make))
+    return shard_corpus(papers, CONFIG.shards, lines=lines).select("line_no", "shard_id", "doc_ord", "id", "title", F.lit(lines).cast("bigint").alias("lines"))
 
 
 @query
@@ -111,7 +154,7 @@ def authors_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def display_projection(spark: SparkSession, d: str) -> DataFrame:
-    return display(table(spark, d, "papers")).drop("authors")
+    return display(table(spark, d, "papers"))
 
 
 @query
@@ -198,30 +241,27 @@ def query_term_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_field_scores(spark: SparkSession, d: str) -> DataFrame:
-    hits = bm25_hits(_bm25(spark, d), _one(spark), CONFIG)
+    hits = bm25_hits(_index(spark, d).bm25, _one(spark), CONFIG)
     return hits.select("shard_id", "doc_ord", "field", F.round("score", 6).alias("score"))
 
 
-def _scaled(spark: SparkSession, d: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    t = _bm25(spark, d)
-    return bm25_normalized(bm25_weighted(bm25_hits(t, asked, CONFIG), CONFIG), asked, t.fields)
-
-
 @query
 def bm25_weighted_normalized(spark: SparkSession, d: str) -> DataFrame:
-    return _scaled(spark, d, _one(spark))[0].select("shard_id", "doc_ord", F.round("bm25", 6).alias("bm25"))
+    t = _index(spark, d).bm25
+    scaled = bm25_normalized(bm25_weighted(bm25_hits(t, _one(spark), CONFIG), CONFIG), t.fields)
+    return scaled.select("shard_id", "doc_ord", F.round("bm25", 6).alias("bm25"))
 
 
 @query
 def bm25_topk_per_shard(spark: SparkSession, d: str) -> DataFrame:
-    best = bm25_candidates(*_scaled(spark, d, _one(spark)), CONFIG.bm25_per_shard)
+    best = ops.best_by_words(_index(spark, d), _one(spark), CONFIG)
     return best.select("shard_id", "place", "doc_ord", F.round("bm25", 6).alias("bm25"))
 
 
 def bm25_global_topk(spark: SparkSession, d: str) -> DataFrame:
-    best = bm25_candidates(*_scaled(spark, d, _one(spark)), CONFIG.bm25_per_shard)
-    top = best.orderBy(F.desc(F.round("bm25", 9)), shard_order(F.col("shard_id")), "doc_ord").limit(CONFIG.page_size)
-    return top.join(_docs(spark, d), ["shard_id", "doc_ord"]).select("line_no", "id", "title", "abstract", F.round("bm25", 6).alias("score"))
+    index = _index(spark, d)
+    top = ops.best_by_words(index, _one(spark), CONFIG).orderBy(F.desc(F.round("bm25", 9)), shard_order(F.col("shard_id")), "doc_ord").limit(CONFIG.page_size)
+    return index.docs.join(F.broadcast(top), ["shard_id", "doc_ord"]).select("line_no", "id", "title", "abstract", F.round("bm25", 6).alias("score"))
 
 
 QUERIES["bm25_global_topk"] = bm25_global_topk
@@ -253,8 +293,9 @@ def similar_topk(spark: SparkSession, d: str) -> DataFrame:
     first = F.min_by(F.struct("paper_id", "top_k"), "received_at").alias("r")
     asked = table(spark, d, "similar_requests").groupBy("request_id").agg(first).select(F.col("request_id").alias("query_id"), "r.paper_id", F.col("r.top_k").alias("k"))
     vectors = _vectors(spark, d).drop("id")
-    index = ops.Index(_docs(spark, d), None, vectors)
-    return ops.similar(index, asked, CONFIG).select(F.col("query_id").alias("request_id"), "place", "id", F.round("distance", 6).alias("distance"))
+    docs = _index(spark, d).docs
+    found = ops.similar(ops.Index(docs, None, vectors), asked, CONFIG).join(docs.select("shard_id", "doc_ord", "line_no", "title", F.array_join("authors", "; ").alias("authors")), ["shard_id", "doc_ord"])
+    return found.select(F.col("query_id").alias("request_id"), "place", "id", "line_no", "title", "authors", F.round("distance", 6).alias("distance"))
 
 
 @query
@@ -289,8 +330,7 @@ def embed_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    index = build_index(table(spark, d, "papers"), CONFIG)
-    return ops.fuse(index, _one(spark), embed(_one(spark), "query"), CONFIG)
+    return ops.fuse(_index(spark, d), _one(spark), embed(_one(spark), "query"), CONFIG)
 
 
 @query
@@ -307,17 +347,45 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of one query, spelling as typed."""
     asked = spark.createDataFrame([(0, QUERY, 2, 10)], "request_id int, query string, page int, size int")
-    found = search_many(build_index(table(spark, d, "papers"), CONFIG), asked, CONFIG)
-    return found.select("rank", "line_no", "id", "title", "abstract", F.round("score", 6).alias("score"))
+    found = search_many(_index(spark, d), asked, CONFIG)
+    return found.select("rank", "line_no", "id", "title", "abstract", F.array_join("authors", "; ").alias("authors"), "pdf_url", F.round("score", 6).alias("score"))
 
 
 @query
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
     """All search requests at once, each distinct query run once, pages clamped."""
-    found = search_many(build_index(table(spark, d, "papers"), CONFIG), _requests(spark, d), CONFIG)
+    found = search_many(_index(spark, d), _requests(spark, d), CONFIG)
     return found.select("request_id", "rank", "line_no", F.round("score", 6).alias("score"))
 
 
+@query
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The stored tables, read again: their rows, and a total of each."""
+    index = _index(spark, d)
+    rows = {
+        "docs": (index.docs, F.sum("doc_ord")),
+        "postings": (index.bm25.postings, F.sum("tf")),
+        "terms": (index.bm25.terms, F.sum("df")),
+        "fields": (index.bm25.fields, F.sum("n_docs")),
+        "vectors": (index.vectors, F.sum(F.size("vector"))),
+        "dictionary": (index.dictionary, F.sum("freq")),
+        "titles": (index.titles, F.sum(F.length("title"))),
+    }
+    parts = [df.agg(F.count("*").alias("rows"), total.cast("bigint").alias("total")).select(F.lit(name).alias("name"), "rows", "total") for name, (df, total) in rows.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def search_persisted(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of one query by the engine's own interface, from the stored index, spelling corrected."""
+    found = SearchEngine(spark, index_path(spark, d), CONFIG).search(QUERY)
+    rows = [(n, r["id"], r["title"], "; ".join(r["authors"]), round(r["score"], 6)) for n, r in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "rank int, id string, title string, authors string, score double")
+
+
 @query
 def paging_clamp(spark: SparkSession, d: str) -> DataFrame:
     page, size = ops.page_bounds(F.col("page"), F.col("size"), CONFIG)
@@ -330,20 +398,21 @@ def paging_clamp(spark: SparkSession, d: str) -> DataFrame:
 @query
 def spell_lookup_top(spark: SparkSession, d: str) -> DataFrame:
     asked = _requests(spark, d).select(F.explode(words(F.col("query"))).alias("term")).distinct()
-    return lookup(asked, word_frequency(_docs(spark, d)), CONFIG.max_edit_distance)
+    index = _index(spark, d)
+    return lookup(asked, index.dictionary, CONFIG.max_edit_distance, index.shortened)
 
 
 @query
 def spell_compound(spark: SparkSession, d: str) -> DataFrame:
     asked = _requests(spark, d).where(F.col("query").rlike(r"\S")).select("query").distinct().withColumn("query_id", F.col("query"))
-    return correct(asked, word_frequency(_docs(spark, d)), CONFIG).select("query", "corrected")
+    index = _index(spark, d)
+    return correct(asked, index.dictionary, CONFIG, index.shortened).select("query", "corrected")
 
 
 @query
 def search_corrected(spark: SparkSession, d: str) -> DataFrame:
     """All search requests, spelling-corrected first."""
-    index = build_index(table(spark, d, "papers"), CONFIG)
-    found = search_many(index, _requests(spark, d), CONFIG, dictionary=word_frequency(index.docs))
+    found = search_many(_index(spark, d), _requests(spark, d), CONFIG, corrected=True)
     return found.select("request_id", "rank", "line_no", F.round("score", 6).alias("score"))
 
 
@@ -351,13 +420,12 @@ def search_corrected(spark: SparkSession, d: str) -> DataFrame:
 def autocomplete_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Suggestions for the first three letters of every query and for every query as typed."""
     asked = _requests(spark, d).select(F.explode(F.array(F.substring("query", 1, 3), F.col("query"))).alias("typed"))
-    return autocomplete_many(_docs(spark, d), asked, CONFIG)
+    return autocomplete_many(_index(spark, d), asked, CONFIG)
 
 
 @query
 def autocomplete_corrected(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return autocomplete_many(docs, _requests(spark, d).select(F.col("query").alias("typed")), CONFIG, word_frequency(docs))
+    return autocomplete_many(_index(spark, d), _requests(spark, d).select(F.col("query").alias("typed")), CONFIG, corrected=True)
 
 
 # streaming

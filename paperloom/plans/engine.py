@@ -14,10 +14,10 @@ from paperloom.functions.text import title_and_abstract
 from paperloom.operators import search as ops
 from paperloom.operators.bm25 import bm25_tables
 from paperloom.operators.corpus import shard_corpus
-from paperloom.operators.spelling import correct, lookup, word_frequency
-from paperloom.operators.suggest import suggest, suggest_many, suggestion_table
+from paperloom.operators.spelling import correct, lookup
+from paperloom.operators.suggest import suggest, suggest_many
 from paperloom.operators.vectors import CellIndex, Embedder, HashingEmbedder, embed
-from paperloom.runtime import materialize, ship
+from paperloom.runtime import settle, ship
 from paperloom.sources.index_store import read_index, write_index
 
 
@@ -42,17 +42,16 @@ class ResultCache:
 
 
 def build_index(papers: DataFrame, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, max_docs: int = 0) -> ops.Index:
-    """The index of ``papers`` as plans; ``write_index`` persists it."""
+    """The index of ``papers`` as plans that read the papers each time; ``build_indexes`` stores one."""
     docs = shard_corpus(papers, config.shards, max_docs)
     text = docs.select("shard_id", "doc_ord", title_and_abstract(F.col("title"), F.col("abstract")).alias("text"))
     return ops.Index(docs, bm25_tables(docs, config), embed(text, "text", "vector", embedder or HashingEmbedder(config.dim)))
 
 
-def build_indexes(papers: DataFrame, path: str, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, max_docs: int = 0) -> None:
-    """Builds and persists the index; the corpus is materialised once for all of its tables."""
+def build_indexes(papers: DataFrame, path: str, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, max_docs: int = 0, lines: int | None = None) -> None:
+    """Builds and stores the index under ``path``; ``lines`` is the number of lines that ``read_corpus`` counted."""
     ship(papers.sparkSession)
-    index = build_index(materialize(papers, "corpus"), config, embedder, max_docs)
-    write_index(index, path)
+    index = write_index(shard_corpus(papers, config.shards, max_docs, lines), path, config, None, embedder)
     if not config.exact_vectors:
         # titles stand for typed queries, which are shorter than the texts that the rows embed
         titles = index.docs.where(F.col("title").rlike(r"\S")).orderBy(F.xxhash64("shard_id", "doc_ord"), "shard_id", "doc_ord").limit(256).select("doc_ord", "title")
@@ -60,21 +59,25 @@ def build_indexes(papers: DataFrame, path: str, config: SearchConfig = SearchCon
         CellIndex(index.vectors, config, asked=asked).save(path)
 
 
-def search_many(index: ops.Index, requests: DataFrame, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, reranker: ops.Reranker = ops.lexical_reranker, dictionary: DataFrame | None = None) -> DataFrame:
-    """The result rows of ``requests (request_id, query, page, size)``, with ``request_id``.
+def search_many(index: ops.Index, requests: DataFrame, config: SearchConfig = SearchConfig(), embedder: Embedder | None = None, reranker: ops.Reranker = ops.lexical_reranker, corrected: bool = False) -> DataFrame:
+    """``(request_id, rank, score, shard_id, doc_ord, line_no, id, title, abstract, authors, pdf_url)`` for ``requests (request_id, query, page, size)``.
 
     Each distinct query runs once, whatever its number of requests. Blank and null queries have no results.
-    With a ``dictionary`` queries are spelling-corrected first.
+    Queries may be spelling-``corrected`` first, which needs the index's dictionary. Texts are joined to the pages' rows only.
     """
     asked = requests.where(F.col("query").rlike(r"\S")).select("request_id", F.col("query").alias("query_id"), "page", "size")
+    asked = settle(asked, "requests")
     queries = asked.select("query_id").distinct().withColumn("query", F.col("query_id"))
-    if dictionary is not None:
-        queries = correct(queries, dictionary, config).select("query_id", F.col("corrected").alias("query"))
-    queries = materialize(queries, "queries")
+    if corrected:
+        queries = correct(queries, index.dictionary, config, index.shortened).select("query_id", F.col("corrected").alias("query"))
+    queries = settle(queries, "queries")
+    small = queries.count() * config.shortlist <= ops.BROADCAST_ROWS
     vectors = embed(queries.select("query_id", "query"), "query", "vector", embedder or HashingEmbedder(config.dim))
-    short = ops.shortlist(ops.fuse(index, queries, vectors, config, complete=False), config)
-    ranked = ops.rerank(short, queries, index.docs, reranker)
-    return ops.cut_page(ranked, asked, config).drop("query_id")
+    short = ops.fuse(index, queries, vectors, config, complete=False)
+    ranked = ops.rerank(short, queries, index.docs, reranker, small)
+    page = ops.cut_page(ranked, asked, config).drop("query_id")
+    docs = index.docs.select("shard_id", "doc_ord", "line_no", "id", "title", "abstract", "authors", "pdf_url")
+    return page.join(docs, ["shard_id", "doc_ord"])
 
 
 class SearchEngine:
@@ -87,8 +90,6 @@ class SearchEngine:
         self.index = read_index(spark, path)
         if not config.exact_vectors:
             self.index.cells = CellIndex.load(spark, path, config)
-        self.dictionary = word_frequency(self.index.docs).persist()
-        self.titles = suggestion_table(self.index.docs)
         self.caches = {name: ResultCache(config.cache_seconds, clock=clock) for name in ("search", "similar", "autocomplete")}
 
     def search(self, query: str | None, page: int = 1, size: int | None = None) -> list[dict]:
@@ -98,19 +99,19 @@ class SearchEngine:
 
         def run() -> list[dict]:
             one = self.spark.createDataFrame([(0, query, page, size or self.config.page_size)], "request_id int, query string, page int, size int")
-            rows = search_many(self.index, one, self.config, self.embedder, self.reranker, self.dictionary).orderBy("rank").collect()
+            rows = search_many(self.index, one, self.config, self.embedder, self.reranker, corrected=True).orderBy("rank").collect()
             return [{"id": r.id, "title": r.title, "abstract": r.abstract, "authors": r.authors, "pdf_url": r.pdf_url, "score": r.score} for r in rows]
 
         return self.caches["search"].get(f"{query}_{page}_{size or self.config.page_size}", run)
 
-    def similar(self, paper_id: str | None, top_k: int = 10) -> list[dict]:
+    def similar(self, paper_id: str | None, top_k: int | None = None) -> list[dict]:
         if paper_id is None or not str(paper_id).strip():
             return []
-        top_k = top_k or 10
+        top_k = top_k or self.config.default_top_k
 
         def run() -> list[dict]:
             one = self.spark.createDataFrame([(0, str(paper_id), top_k)], "query_id int, paper_id string, k int")
-            found = ops.similar(self.index, one, self.config).join(self.index.docs.drop("id"), ["shard_id", "doc_ord"])
+            found = ops.similar(self.index, one, self.config, self.embedder).join(self.index.docs.drop("id"), ["shard_id", "doc_ord"])
             return [{"id": r.id, "title": r.title, "abstract": r.abstract, "authors": r.authors} for r in found.orderBy("place").collect()]
 
         return self.caches["similar"].get(f"{paper_id}_{top_k}", run)
@@ -122,20 +123,20 @@ class SearchEngine:
 
         def run() -> list[str]:
             one = self.spark.createDataFrame([(prefix,)], "term string")
-            near = lookup(one, self.dictionary, self.config.max_edit_distance).first()
-            return [r.title for r in suggest(self.titles, near.word if near else prefix, self.config).orderBy("place").collect()]
+            near = lookup(one, self.index.dictionary, self.config.max_edit_distance, self.index.shortened).first()
+            return [r.title for r in suggest(self.index.titles, near.word if near else prefix, self.config).orderBy("place").collect()]
 
         return self.caches["autocomplete"].get(prefix, run)
 
 
-def autocomplete_many(docs: DataFrame, prefixes: DataFrame, config: SearchConfig = SearchConfig(), dictionary: DataFrame | None = None) -> DataFrame:
-    """``(typed, place, title)`` for ``prefixes (typed)``; with a dictionary each is corrected as one word first."""
+def autocomplete_many(index: ops.Index, prefixes: DataFrame, config: SearchConfig = SearchConfig(), corrected: bool = False) -> DataFrame:
+    """``(typed, place, title)`` for ``prefixes (typed)``; they may be ``corrected`` as one word each first."""
     typed = prefixes.select("typed").where(F.col("typed").rlike(r"\S")).distinct()
-    if dictionary is not None:
-        near = lookup(typed.select(F.col("typed").alias("term")), dictionary, config.max_edit_distance)
+    if corrected:
+        typed = settle(typed, "typed")
+        near = lookup(typed.select(F.col("typed").alias("term")), index.dictionary, config.max_edit_distance, index.shortened)
         typed = typed.join(near.select(F.col("term").alias("typed"), "word"), "typed", "left").select("typed", F.lower(F.coalesce("word", "typed")).alias("prefix"))
     else:
         typed = typed.select("typed", F.lower("typed").alias("prefix"))
-    typed = materialize(typed, "prefixes")
-    return suggest_many(suggestion_table(docs), typed, config).join(typed, "prefix").select("typed", "place", "title")
-
+    typed = settle(typed, "prefixes")
+    return suggest_many(index.titles, typed, config).join(typed, "prefix").select("typed", "place", "title")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 WORDS = r"[\p{L}\p{N}_]+"
 #: White space as regular expressions of Unicode text understand it; the other engine's \s knows ASCII only.
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -80,6 +83,34 @@ units as (select paper_id, list_transform(e, lambda x: x / sqrt(list_inner_produ
 vectors as (select shard_id, doc_ord, id, v from docs join units on id = paper_id)"""
 
 
+#: The best word of each of ``terms (term)``. The other engine's edit distance with swaps lets a swapped pair be edited again; distances
+#: of two that rest on that (one letter put between or taken from between a swapped pair) are three by optimal string alignment.
+LOOKUP = f"""
+words_of_titles as (select word, count(*) as freq from (select unnest(regexp_extract_all(lower(title), '{WORDS}')) as word from docs) group by word),
+close as (select term, word, freq, levenshtein(term, word) as lev, damerau_levenshtein(term, word) as dl from terms join words_of_titles
+    on abs(length(term) - length(word)) <= 2 and damerau_levenshtein(term, word) <= 2),
+near as (select term, word, freq, dl as distance from close where lev <= 2 or length(term) = length(word) or len(list_filter(range(1, length(term)), lambda i:
+    (starts_with(word, term[1:i - 1] || term[i + 1] || term[i]) and levenshtein(word[i + 2:], term[i + 2:]) <= 1)
+    or (ends_with(word, term[i + 1] || term[i] || term[i + 2:]) and levenshtein(word[1:length(word) - length(term) + i - 1], term[1:i - 1]) <= 1))) > 0),
+best as (select term, word, distance, freq from (select *, row_number() over (partition by term order by distance, freq desc, word) as n from near) where n = 1)"""
+
+
+def ascii_of() -> str:
+    """A table of the ASCII parts of all characters beyond ASCII that have some, by compatibility decomposition."""
+    found = {}
+    for k in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= k <= 0xDFFF and (plain := unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode()):
+            found[chr(k)] = plain.replace("'", "''")
+    return f"ascii as (select map([{', '.join(f"'{c}'" for c in found)}], [{', '.join(f"'{p}'" for p in found.values())}]) as m)"
+
+
+def to_ascii(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: case when unicode(c) < 128 then c else coalesce(m[c], '') end), '')"
+
+
+def author_names(x: str) -> str:
+    return f"case when {x} is null then [] when starts_with({strip(x)}, '[') and json_valid({strip(x)}) then from_json({strip(x)}, '[\"VARCHAR\"]') else [{x}] end"
+
 
 def spaces(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '{SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
@@ -94,6 +125,8 @@ LATEX = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
     '\\(?:emph|text[a-z]{0,2}|math[a-z]{0,4}|rm|it|bf|em|left|right|cite|ref|label|footnote)\b\*?', ' ', 'g'),
     '\\([A-Za-z]+)', ' \1 ', 'g'), '\\([%&_#$])', '\1', 'g'), '[{}$~^]|\\\\', ' ', 'g')"""
 
+joined = f"array_to_string({author_names('authors')}, '; ')"
+
 QUERY_SQL: dict[str, str] = {
     "jsonl_parse": "select line_no, id, title, abstract, authors, pdf_url, categories from papers where title is not null and abstract is not null",
     "line_count": "select count(*) as lines, max(line_no) + 1 as total, count(distinct id) as ids from papers",
@@ -104,7 +137,12 @@ QUERY_SQL: dict[str, str] = {
         l as (select line_no, case when authors is null then [] when starts_with(t, '[') and json_valid(t) then from_json(t, '["VARCHAR"]') else [authors] end as names from a)
         select line_no, unnest(range(1, len(names) + 1))::int as "at", unnest(names) as author from l union all select line_no, 0, null from l where len(names) = 0""",
     "display_projection": f"""select line_no, id, coalesce(nullif({strip('title')}, ''), 'Untitled') as title, coalesce(nullif({strip('abstract')}, ''), 'No abstract available') as "abstractText",
-        'https://arxiv.org/pdf/' || id || '.pdf' as pdf_url, strftime(updated_at, '%Y-%m-%d') as "updateDate" from papers""",
+        coalesce(nullif({strip('names')}, ''), 'Unknown authors') as authors,
+        'https://arxiv.org/pdf/' || id || '.pdf' as pdf_url, strftime(updated_at, '%Y-%m-%d') as "updateDate" from (select *, array_to_string(list_filter({author_names('authors')}, lambda a: {strip('a')} <> ''), ', ') as names from papers)""",
+    "ascii_titles": f"with {ascii_of()} select line_no, {to_ascii('title')} as title, {to_ascii('authors')} as authors from papers cross join ascii",
+    "jsonl_corpus": """with l as (select row_number() over (order by line_no) - 1 as line_no, id, title, abstract, (select count(*) + 3 from papers) as lines from papers),
+        k as (select *, (line_no // ceil(lines / 8.0)::bigint)::int as shard_id from l where title is not null and abstract is not null)
+        select line_no, shard_id, (row_number() over (partition by shard_id order by line_no) - 1)::int as doc_ord, id, title, lines from k""",
     "pdf_links": "select line_no, coalesce(pdf_url, 'https://arxiv.org/pdf/' || id || '.pdf') as pdf_url from papers",
     "category_filter": "select line_no, id, categories from papers where contains(categories, 'cs.L')",
     "category_allow_list": "select line_no, id, categories from papers where list_has_any(string_split(categories, ' '), ['cs.IR', 'cs.CL', 'cs.DS'])",
@@ -131,18 +169,29 @@ QUERY_SQL: dict[str, str] = {
         from (select *, row_number() over (partition by shard_id order by distance, doc_ord) as place from d) where place <= 50""",
     "similar_topk": f"""with {VECTORS},
         r as (select request_id, arg_min(struct_pack(p := paper_id, k := top_k), received_at) as x from similar_requests group by request_id),
-        wanted as (select request_id, x.p as paper_id, x.k as k from r where x.k > 0),
+        wanted as (select request_id, x.p as paper_id, case when coalesce(x.k, 0) = 0 then 10 else x.k end as k from r where coalesce(x.k, 0) >= 0),
         target as (select id, arg_min(v, (shard_id::varchar, doc_ord)) as qv from vectors where id in (select paper_id from wanted) group by id),
         d as (select t.id as target, shard_id, doc_ord, vectors.id, greatest(0, round(list_inner_product(v, v) + list_inner_product(qv, qv) - 2 * list_inner_product(v, qv), 9)) as distance from vectors cross join target t),
         near as (select *, row_number() over (partition by target, shard_id order by distance, doc_ord) as n from d),
         own as (select request_id, k, near.* from wanted join near on target = paper_id where n <= k + 1 and near.id <> target),
         ranked as (select *, row_number() over (partition by request_id order by distance, shard_id::varchar, doc_ord) as place from own)
-        select request_id, place::int as place, id, round(distance, 6) as distance from ranked where place <= k""",
+        select request_id, place::int as place, ranked.id, line_no, title, {joined} as authors, round(distance, 6) as distance from ranked join docs using (shard_id, doc_ord) where place <= k""",
     "embed_texts": f"""with {CORPUS}, queries as (select 'x' as query_id, 'x' as query), {EMBED.split("inner_products")[0].rstrip().rstrip(",")}
         select substr(k, 2)::bigint as line_no, place, round(x, 6) as x from unit where starts_with(k, 'd') and x <> 0""",
     "candidate_union": f"with {STATS}, {ONE}, {SCORES}, {NORMAL}, {EMBED} select shard_id, doc_ord from fused",
     "hybrid_fusion": f"with {STATS}, {ONE}, {SCORES}, {NORMAL}, {EMBED} select place::int as place, shard_id, doc_ord, round(bm25, 6) as bm25, round(similarity, 6) as similarity, round(fused, 6) as fused from short",
-    "search_page": f"with {STATS}, {ONE}, {SCORES}, {NORMAL}, {EMBED}, {RANKED} select rank::int as rank, line_no, id, title, abstract, round(score, 6) as score from ranked where rank between 11 and 20",
+    "search_page": f"with {STATS}, {ONE}, {SCORES}, {NORMAL}, {EMBED}, {RANKED} select rank::int as rank, line_no, id, title, abstract, {joined} as authors, pdf_url, round(score, 6) as score from ranked join (select line_no, authors, pdf_url from docs) using (line_no) where rank between 11 and 20",
+    "search_persisted": f"with {STATS}, {ONE}, {SCORES}, {NORMAL}, {EMBED}, {RANKED} select rank::int as rank, id, title, {joined} as authors, round(score, 6) as score from ranked join (select line_no, authors from docs) using (line_no) where rank <= 10",
+    "index_roundtrip": f"""with {STATS} select 'docs' as name, count(*) as rows, sum(doc_ord)::bigint as total from docs
+        union all select 'postings', count(*), sum(tf)::bigint from postings union all select 'terms', count(*), sum(df)::bigint from terms
+        union all select 'fields', count(*), sum(n_docs)::bigint from sizes union all select 'vectors', count(*), 64 * count(*) from docs
+        union all select 'dictionary', count(distinct term), sum(tf)::bigint from postings where field = 'title'
+        union all select 'titles', count(*), sum(length(title))::bigint from docs where title <> \'\'""",
+    "spell_lookup_top": f"with {CORPUS}, {REQUESTS}, terms as (select distinct unnest(regexp_extract_all(lower(query), '{WORDS}')) as term from asked), {LOOKUP} select term, word, distance::int as distance, freq from best",
+    "autocomplete_corrected": f"""with {CORPUS}, {REQUESTS}, terms as (select distinct query as term from asked where regexp_matches(query, '\\S')), {LOOKUP},
+        typed as (select terms.term as typed, lower(coalesce(word, terms.term)) as prefix from terms left join best using (term))
+        select typed, place::int as place, title from (select typed, title, row_number() over (partition by typed order by shard_id::varchar, doc_ord) as place
+        from typed join docs on starts_with(lower(title), prefix) where title <> \'\') where place <= 5""",
     "search_batch": f"with {STATS}, {ALL}, {SCORES}, {NORMAL}, {EMBED}, {RANKED}, {PAGES} select request_id, rank::int as rank, line_no, round(score, 6) as score from pages join ranked on query_id = pages.query where rank > (page - 1) * size and rank <= page * size",
     "paging_clamp": f"with {REQUESTS}, {PAGES} select request_id, page, size, (page - 1) * size as skipped from pages",
     "autocomplete_prefix": f"""with {CORPUS}, {REQUESTS}, typed as (select distinct typed from (select substr(query, 1, 3) as typed from asked union all select query from asked) where regexp_matches(typed, '\\S'))

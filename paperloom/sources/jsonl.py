@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, title string, abstract string, authors string, pdf_url string, categories string"
@@ -12,12 +12,16 @@ CORRUPT = "_corrupt"
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, value)`` of every line, blank ones included; bytes that are no UTF-8 are dropped.
 
-    Numbers are exact and in file order: partitions are counted once, then offset (``zipWithIndex``); a number made
-    from partition ids would have gaps.
+    Numbers are exact and in the order of file names and places. A split of a file is read by one task from start to end, so
+    its lines are numbered by ``monotonically_increasing_id``; splits are counted, and a split's first number is the sum of
+    the counts before it. Lines never leave the JVM.
     """
-    raw = spark.read.format("text").load(path)
-    clean = raw.select(F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("value"))
-    return clean.rdd.zipWithIndex().map(lambda r: (r[1], r[0].value)).toDF("line_no bigint, value string")
+    raw = spark.read.format("text").load(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
+    counts = raw.groupBy("_f", "_at").agg(F.count("*").alias("_n"), F.min("_m").alias("_least"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_at").rowsBetween(Window.unboundedPreceding, -1))  # a row per split of a file
+    first = counts.select("_f", "_at", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_shift"))
+    clean = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    return raw.join(first, ["_f", "_at"]).select((F.col("_m") + F.col("_shift")).alias("line_no"), clean.alias("value"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -8,20 +8,22 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperloom.config import SearchConfig
-from paperloom.functions.spelling import deletions, osa
+from paperloom.config import SearchConfig, Settings
+from paperloom.functions.spelling import deletions, osa, osa_many
 from paperloom.functions.text import latex_to_words, squeeze, strip, words
 from paperloom.functions.vector import l2_normalize, squared_distance
 from paperloom.operators import search as ops
-from paperloom.operators.bm25 import bm25_candidates, bm25_hits, bm25_normalized, bm25_tables, bm25_weighted
+from paperloom.operators.blocks import asked_only
+from paperloom.operators.bm25 import bm25_hits, bm25_normalized, bm25_tables, bm25_weighted, impacts_of
 from paperloom.operators.corpus import authors_list, dense_positions, shard_corpus
 from paperloom.operators.etl import cap_categories, clean_text, display, prepare
 from paperloom.operators.search import cut_page, page_bounds
-from paperloom.operators.spelling import correct, lookup, word_frequency
+from paperloom.operators.spelling import PREFIX, correct, lookup, word_frequency
 from paperloom.operators.suggest import suggest, suggest_many, suggestion_table
 from paperloom.operators.vectors import CellIndex, HashingEmbedder, cells_of, embed, nearest_per_shard
 from paperloom.plans.engine import ResultCache, SearchEngine, build_index, build_indexes, search_many
 from paperloom.sources.index_store import read_index, shards_of
+from paperloom.runtime import shared_dir
 from paperloom.sources.jsonl import parse_lines, read_corpus
 
 TEXTS = [
@@ -43,12 +45,13 @@ def bm25(spark, shards, query="graph attention", texts=TEXTS):
     asked = spark.createDataFrame([("q", query)], "query_id string, query string")
     hits = bm25_hits(tables, asked, config)
     weighted = bm25_weighted(hits, config)
-    scaled, every = bm25_normalized(weighted, asked, tables.fields)
-    return hits, weighted, scaled, every
+    scaled = bm25_normalized(weighted, tables.fields)
+    index = ops.Index(None, tables, None, impacts=impacts_of(tables, config))
+    return hits, weighted, scaled, lambda k, block=65_536: ops.best_by_words(index, asked, SearchConfig(shards=shards, bm25_per_shard=k, doc_block=block))
 
 
 def test_one_shard_scores(spark):
-    hits, weighted, scaled, every = bm25(spark, 1)
+    hits, weighted, scaled, _ = bm25(spark, 1)
     found = {(r.doc_ord, r.field): r.score for r in hits.collect()}
     assert found[1, "title"] == pytest.approx(0.905509, abs=1e-6)
     assert found[1, "abstract"] == pytest.approx(0.718049, abs=1e-6)
@@ -58,12 +61,12 @@ def test_one_shard_scores(spark):
 
 
 def test_two_shards_keep_their_own_statistics_and_negative_maximum(spark):
-    _, weighted, scaled, every = bm25(spark, 2)
+    _, weighted, scaled, best_of = bm25(spark, 2)
     raw = {(r.shard_id, r.doc_ord): r.raw for r in weighted.collect()}
     assert raw[0, 0] == pytest.approx(-0.207100, abs=1e-6) and raw[0, 1] == pytest.approx(-0.242911, abs=1e-6)
     norm = {(r.shard_id, r.doc_ord): r.bm25 for r in scaled.collect()}
     assert norm[0, 0] == pytest.approx(1.0, abs=1e-6) and norm[0, 1] == pytest.approx(1.172912, abs=1e-6)
-    best = bm25_candidates(scaled, every, 100).collect()
+    best = best_of(100).collect()
     assert {(r.shard_id, r.doc_ord) for r in best} == {(0, 0), (0, 1), (1, 0), (1, 1)}
 
 
@@ -73,8 +76,8 @@ def test_repeated_query_word_counts_twice(spark):
 
 
 def test_unknown_word_leaves_zero_candidates(spark):
-    _, _, scaled, every = bm25(spark, 1, "zzz")
-    best = bm25_candidates(scaled, every, 3).orderBy("place").collect()
+    best_of = bm25(spark, 1, "zzz")[3]
+    best = best_of(3).orderBy("place").collect()
     assert [(r.doc_ord, r.bm25) for r in best] == [(0, 0.0), (1, 0.0), (2, 0.0)]
 
 
@@ -84,8 +87,8 @@ def test_empty_field_in_a_whole_shard(spark):
 
 def test_fillers_follow_scored_documents(spark):
     texts = [(f"word{i}", "common thing") for i in range(12)] + [("needle", "in hay")]
-    _, _, scaled, every = bm25(spark, 1, "needle", texts)
-    best = bm25_candidates(scaled, every, 5).orderBy("place").collect()
+    best_of = bm25(spark, 1, "needle", texts)[3]
+    best = best_of(5).orderBy("place").collect()
     assert [r.doc_ord for r in best] == [12, 0, 1, 2, 3]
 
 
@@ -328,13 +331,109 @@ def test_word_frequency(spark):
     assert {r.word: r.freq for r in word_frequency(papers_of(spark, TEXTS)).collect()}["learning"] == 2
 
 
-def test_plans_prune_and_limit(spark, data):
-    """A prefix filter reaches the scan, and the best of each shard are cut before they are shuffled."""
+def plan_of(df):
     import contextlib
     import io
 
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
-        spark.read.parquet(f"{data}/papers.parquet").where(F.col("title").startswith("On")).select("line_no").explain("formatted")
-        bm25_candidates(*bm25(spark, 2)[2:], 100).explain("formatted")
-    assert "StringStartsWith" in out.getvalue() and "WindowGroupLimit" in out.getvalue()
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_plans_prune(spark, tmp_path):
+    """A prefix reaches the scan of the stored titles, a query's words that of the inverted lists, and shards are partitions."""
+    path = str(tmp_path / "index")
+    build_indexes(papers_of(spark, TEXTS), path, SearchConfig(shards=2))
+    index = read_index(spark, path)
+    assert "StringStartsWith(title_lower,graph)" in plan_of(suggest(index.titles, "Graph"))
+    asked = spark.createDataFrame([("q", ["graph"])], "query_id string, terms array<string>")
+    lists = asked_only(asked, index.impacts)[0]
+    assert "EqualTo(term,graph)" in plan_of(lists) and "PartitionFilters: [isnotnull(shard_id" in plan_of(index.docs.where("shard_id = 1"))
+    assert lists.count() == 2
+
+
+def test_blocks_of_a_shard_give_what_the_whole_shard_gives(spark):
+    """Also where all scores of a shard are negative, which turns their order round, and for queries without a known word."""
+    for texts in (TEXTS, [("graph", "graph attention")] * 5, [(f"graph w{i % 7}", "attention " * (i % 4)) for i in range(40)]):
+        for query in ("graph attention", "nothing", ""):
+            best = bm25(spark, 1, query, texts)[3]
+            rows = lambda df: sorted((r.place, r.doc_ord, round(r.bm25, 6)) for r in df.collect())
+            whole = rows(best(3))
+            assert len(whole) == 3 and rows(best(3, 2)) == whole and rows(best(3, 7)) == whole
+
+
+def test_shard_bounds_count_lines_without_a_record(spark, tmp_path):
+    f = tmp_path / "c.jsonl"
+    f.write_text('{"id": "a"}\n{"id": "b"}\n' + "\n" * 3 + "broken\n")
+    papers, lines = read_corpus(spark, str(f))
+    assert lines == 6
+    assert {r.id: r.shard_id for r in shard_corpus(papers, 3, lines=lines).collect()} == {"a": 0, "b": 0}
+    assert {r.id: r.shard_id for r in shard_corpus(papers, 3, max_docs=3, lines=lines).collect()} == {"a": 0, "b": 1}
+
+
+def test_lines_of_several_files_are_numbered_by_name_and_place(spark, tmp_path):
+    from paperloom.sources.jsonl import read_lines
+
+    for name, n in (("a", 5), ("b", 3000), ("c", 1)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i} {'x' * 50}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = [r.value.split()[0] for r in read_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+        numbers = sorted(r.line_no for r in read_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"{name}{i}" for name, n in (("a", 5), ("b", 3000), ("c", 1)) for i in range(n)] and numbers == list(range(3006))
+
+
+def test_similar_default_and_texts_without_a_vector(spark):
+    papers = spark.createDataFrame([(i, f"p{i}", f"graph study {i % 4}", "", None, None, None) for i in range(30)], PAPER)
+    index = build_index(papers, SearchConfig(shards=2))
+    whole = ops.similar(index, spark.createDataFrame([(1, "p3", 4)], "query_id int, paper_id string, k int")).orderBy("place").collect()
+    index.vectors = index.vectors.where("not (shard_id = 0 and doc_ord = 3)")
+    asked = spark.createDataFrame([(1, "p3", 4), (2, "p5", 0), (3, "p5", None), (4, "p5", -1)], "query_id int, paper_id string, k int")
+    assert {r.query_id: r.n for r in ops.similar(index, asked).groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {2: 10, 3: 10}
+    again = ops.similar(index, asked, embedder=HashingEmbedder()).where("query_id = 1").orderBy("place").collect()
+    assert [(r.id, round(r.distance, 6)) for r in again] == [(r.id, round(r.distance, 6)) for r in whole]
+
+
+@given(st.lists(st.tuples(st.text("abc", max_size=9), st.text("abcd", max_size=12)), max_size=30))
+def test_osa_of_many_pairs(pairs):
+    assert osa_many([a for a, _ in pairs], [b for _, b in pairs], step=7).tolist() == [naive_osa(a, b) for a, b in pairs]
+
+
+@given(st.text("ab", min_size=6, max_size=14), st.text("ab", min_size=6, max_size=14))
+def test_prefixes_keep_all_near_words(a, b):
+    if naive_osa(a, b) <= 2:
+        assert deletions(a[:PREFIX], 2) & deletions(b[:PREFIX], 2)
+
+
+def test_a_very_long_token_has_few_pieces(spark):
+    words_ = spark.createDataFrame([("graph", 50), ("attention", 90)], "word string, freq bigint")
+    long = "a" * 50_000
+    asked = spark.createDataFrame([(0, f"{long} grpah"), (1, "graphattention")], "query_id int, query string")
+    assert {r.query_id: r.corrected for r in correct(asked, words_).collect()} == {0: f"{long} graph", 1: "graph attention"}
+
+
+def test_settings_from_options_and_environment():
+    assert Settings.read(["--shards", "3"], {"NUM_SHARDS": "5", "DATASET_PATH": "x"}) == Settings("x", "index", 3, 0)
+    with pytest.raises(ValueError):
+        Settings.read(["--shards", "0"], {})
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    shared_dir(spark)
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
