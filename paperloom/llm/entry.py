@@ -19,6 +19,43 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(link_variants(authors, "author", "line_no", "category"))
 
 
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every author string with its entity, named by its least spelling, and the entity's number of spellings: no pairs."""
+    from paperloom.llm.variants import link_variants
+
+    (papers,) = tables(spark, d, "papers")
+    authors = materialize(split_packed(papers, "line_no", "authors", value="author", carried={"category": F.split("categories", " ")[0]}).select("author", "line_no", "category"), "authors")
+    linked = link_variants(authors, "author", "line_no", "category").withColumnsRenamed({"node": "author", "component": "entity"})
+    sizes = linked.groupBy("entity").agg(F.count("*").alias("spellings"))
+    every = authors.select("author").distinct().join(linked, "author", "left").join(sizes, "entity", "left")
+    return every.select("author", F.coalesce("entity", "author").alias("entity"), F.coalesce("spellings", F.lit(1)).alias("spellings"))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a non-empty form: its class, named by the least document of that look, and how many texts look so."""
+    from paperloom.llm.lookalike import with_forms
+
+    (documents,) = tables(spark, d, "documents")
+    t = F.col("text")
+    formed = with_forms(documents.where(t != ""), "text", {"doc_id": F.col("doc_id"), "x": F.struct(F.xxhash64(t), F.crc32(t.cast("binary")), F.length(t))})
+    look = F.struct(F.xxhash64("form"), F.crc32(F.col("form").cast("binary")), F.length("form"))
+    rows = materialize(formed.where("form <> ''").select("doc_id", "x", look.alias("look")), "looks")
+    # copies of one text combine on the map side, so a text of a third of all rows is no hot key
+    sizes = rows.groupBy("look", "x").agg(F.min("doc_id").alias("least")).groupBy("look").agg(F.min("least").alias("class_doc_id"), F.count("*").alias("texts"))
+    return rows.join(sizes, "look").select("doc_id", "class_doc_id", "texts")
+
+
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of a packing: each text whole and once, no container over its capacity, items one after the other, little left unused."""
+    documents, sizes = tables(spark, d, "documents", "pack_sizes")
+    packed = materialize(p6_packed(spark, d), "packing")
+    texts = packed.groupBy("profile", "doc_id").agg((F.sum("n_tokens") == F.max(F.col("first_token") + F.col("n_tokens"))).alias("whole"))
+    texts = texts.groupBy("profile").agg(F.count("*").alias("texts"), F.every("whole").alias("whole"))
+    boxes = packed.groupBy("profile", "container").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.count("*").alias("items"), F.max("place").alias("last"))
+    boxes = boxes.join(F.broadcast(sizes), "profile").groupBy("profile").agg(F.every(F.expr("n <= capacity")).alias("within"), F.every(F.expr("n = `end` and items = last + 1")).alias("dense"), (F.sum("n") >= 0.95 * F.sum("capacity")).alias("filled"))
+    return texts.join(boxes, "profile").select("profile", "texts", "whole", "within", "dense", "filled")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.lookalike import lookalike_pairs
 
@@ -107,8 +144,8 @@ def p1_store(spark: SparkSession, d: str):
     (papers,) = tables(spark, d, "papers")
     late = F.coalesce(F.col("received_at") > F.col("updated_at") + F.expr("interval 2 days"), F.lit(False))
     store = TermStore(spark)
-    for batch in (papers.where(~late), papers.where(late)):
-        store.merge(term_delta(batch, ["title", "abstract"]))
+    for name, batch in (("in time", papers.where(~late)), ("late", papers.where(late))):
+        store.merge(term_delta(batch, ["title", "abstract"]), name)
     return store
 
 
@@ -141,7 +178,7 @@ LATEST_SQL = "(select * from papers p where id is null or line_no = (select max(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p4_found, p4_neighbours, p5_found, p5_groups, p6_packed, p6_report, p7_found, p7_spans, p7_clean, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_revised, p3_found, p3_entities, p4_found, p4_neighbours, p5_found, p5_groups, p6_packed, p6_report, p6_checks, p7_found, p7_spans, p7_clean, p8_found, p8_forms, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -165,5 +202,6 @@ def oracle_sql() -> dict[str, str]:
             roots as (select a, min(b) as root from reach group by a),
             degree as (select a, count(*) as links from links group by a)
             select line_no, root as group_line_no, copies, coalesce(links, 0) as links from texts join classes using (ws) join roots on a = rep left join degree on degree.a = rep""",
+        "p6_checks": "select profile, (select count(*) from documents)::bigint as texts, true as whole, true as within, true as dense, true as filled from pack_sizes",
         "p1_revised": WORDS_SQL.format(papers=LATEST_SQL) + "select * from counts",
     }

@@ -5,8 +5,9 @@ several strings). Corpus documents stream through it word by word; the automaton
 ending there that occurs in some item, and from its length and the suffix links follow the items whose ``run_words``
 consecutive words are complete (all words of an item that has fewer).
 
-The automaton is broadcast: its size is bounded by twice the items' words, which are checked against ``max_item_words``;
-larger sets are cut into several automata, each streamed over the corpus. A document is held against the automaton only
+The automaton is broadcast: it has at most two states a word of the items, some 400 bytes each as measured, so ``max_item_words``
+bounds it (200,000 words: 160 MB a worker). Larger sets are cut into several automata. They are built one after the other, and the
+corpus streams past each in a pass of its own, so no task ever holds two. A document is held against the automaton only
 where its words can match at all: where consecutive pairs of words all occur in items. That filter is exact, for
 a run of ``n`` words holds ``n - 1`` such pairs.
 
@@ -26,12 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.lookalike import consistent_form
+from paperloom.runtime import materialize
 
 WORD = re.compile(r"\w+")
 
 
+def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The lower-cased words and where they are in ``text`` itself; a letter whose lower case is longer, with a mark, counts as it stands."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    return [m[0] for m in WORD.finditer(low)], [m.span() for m in WORD.finditer(low)]
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else words_at(text)[0]
 
 
 class Automaton:
@@ -155,62 +166,82 @@ class Automaton:
         return items, spans
 
 
-def _collect_items(items: DataFrame, item_key: str, item_text: str, run: int, max_item_words: int) -> list[Automaton]:
+def _parts_of_items(items: DataFrame, item_key: str, item_text: str, max_item_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items with their words, in parts of at most ``max_item_words`` (one item at least); one part is in memory at a time."""
     formed = consistent_form(items, item_key, item_text, "form").where("form <> ''")
-    automata, part, size = [], [], 0
+    part, size = [], 0
     for r in formed.toLocalIterator():
         ws = words_of(r.form)
         if part and size + len(ws) > max_item_words:
-            automata.append(Automaton(part, run))
+            yield part
             part, size = [], 0
         part.append((r[0], ws))
         size += len(ws)
-    return [*automata, Automaton(part, run)]
+    yield part
 
 
-def _stream(corpus: DataFrame, doc_key: str, doc_text: str, automata: list[Automaton], schema: str, row: object) -> DataFrame:
+def _stream(corpus: DataFrame, doc_key: str, doc_text: str, parts: Iterator[list], run_words: int, schema: str, row: object) -> DataFrame:
+    """A pass over the corpus for each part of the items; where there are several, texts are brought to their form once for all."""
     formed = consistent_form(corpus, doc_key, doc_text, "form").where("form <> ''")
-    held = [corpus.sparkSession.sparkContext.broadcast(a) for a in automata]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [h.value for h in held]
-        for batch in batches:
-            keys, lists = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ws = words_of(text)
-                for a in own:
-                    for r in row(a, ws):
+    spark, names = corpus.sparkSession, [x.split()[0] for x in schema.split(", ")]
+
+    def scan_with(held: object) -> object:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = held.value
+            for batch in batches:
+                keys, lists = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for r in row(own, words_of(text)):
                         keys.append(i)
                         lists.append(r)
-            fields = list(zip(*lists, strict=True)) if lists else [[] for _ in range(schema.count(","))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array(f, pa.int64()) for f in fields)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return formed.mapInArrow(scan, schema)
-
-
-def find_leaks(corpus: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run_words: int = 12, max_item_words: int = 2_000_000) -> DataFrame:
+                fields = list(zip(*lists, strict=True)) if lists else [[] for _ in names[1:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array(f, pa.int64()) for f in fields)], names=names)
+
+        return scan
+
+    found, first = [], next(parts)
+    second = next(parts, None)
+    if second is not None:
+        formed = materialize(formed, "leak-forms")
+    for part in (first, second, *parts) if second is not None else (first,):
+        held = spark.sparkContext.broadcast(Automaton(part, run_words))
+        passed = formed.mapInArrow(scan_with(held), schema)
+        if second is not None:  # each pass ends before the next automaton is made
+            passed = materialize(passed, "leaks")
+            held.destroy()
+        found.append(passed)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def find_leaks(corpus: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run_words: int = 12, max_item_words: int = 200_000) -> DataFrame:
     """``(doc_key, item_key)``: each document with each item of which it holds ``run_words`` words in a row.
 
     Keys are bigint. ``items`` is read to the driver in parts of ``max_item_words``: it has to be a test set, not a corpus.
     """
-    automata = _collect_items(items, item_key, item_text, run_words, max_item_words)
-    return _stream(corpus, doc_key, doc_text, automata, f"{doc_key} bigint, {item_key} bigint", lambda a, ws: [(k,) for k in sorted(a.spans(ws)[0])])
+    parts = _parts_of_items(items, item_key, item_text, max_item_words)
+    return _stream(corpus, doc_key, doc_text, parts, run_words, f"{doc_key} bigint, {item_key} bigint", lambda a, ws: [(k,) for k in sorted(a.spans(ws)[0])])
 
 
-def leaked_spans(corpus: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run_words: int = 12, max_item_words: int = 2_000_000) -> DataFrame:
+def leaked_spans(corpus: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run_words: int = 12, max_item_words: int = 200_000) -> DataFrame:
     """``(doc_key, first_word, last_word, doc_words)``: the spans to remove, words of the consistent form counted from 0.
 
-    Overlapping matches are one span; dividing a document's span lengths by ``doc_words`` gives its coverage.
+    Overlapping matches in items of one part are one span; dividing a document's span lengths by ``doc_words`` gives its coverage.
     """
-    automata = _collect_items(items, item_key, item_text, run_words, max_item_words)
+    parts = _parts_of_items(items, item_key, item_text, max_item_words)
     schema = f"{doc_key} bigint, first_word bigint, last_word bigint, doc_words bigint"
-    return _stream(corpus, doc_key, doc_text, automata, schema, lambda a, ws: [(s, e - 1, len(ws)) for s, e in a.spans(ws)[1]])
+    return _stream(corpus, doc_key, doc_text, parts, run_words, schema, lambda a, ws: [(s, e - 1, len(ws)) for s, e in a.spans(ws)[1]])
 
 
 def remove_leaks(corpus: DataFrame, doc_key: str, doc_text: str, spans: DataFrame, max_coverage: float = 0.5) -> DataFrame:
     """``(doc_key, clean, dropped)``: the consistent form without the leaked spans; a document covered by more than ``max_coverage`` is dropped."""
     formed = consistent_form(corpus, doc_key, doc_text, "form")
-    cuts = spans.groupBy(doc_key).agg(F.sort_array(F.collect_list(F.struct("first_word", "last_word"))).alias("cuts"), F.sum(F.col("last_word") - F.col("first_word") + 1).alias("covered"), F.max("doc_words").alias("doc_words"))
+    cuts = spans.groupBy(doc_key).agg(F.sort_array(F.collect_list(F.struct("first_word", "last_word"))).alias("cuts"), F.max("doc_words").alias("doc_words"))
+    # words that several spans cover count once: each span adds what lies beyond the end of those before it
+    reach = F.aggregate("cuts", F.struct(F.lit(-1).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n")), lambda acc, c: F.struct(F.greatest(acc["end"], c["last_word"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), c["last_word"] - F.greatest(acc["end"], c["first_word"] - 1))).alias("n")))
+    cuts = cuts.withColumn("covered", reach["n"])
     joined = formed.join(cuts, doc_key, "left").select(F.col(doc_key).alias("k"), "form", "cuts", (F.coalesce(F.col("covered") / F.col("doc_words"), F.lit(0.0)) > max_coverage).alias("dropped"))
     key_type = joined.schema["k"].dataType.simpleString()
 
@@ -223,11 +254,12 @@ def remove_leaks(corpus: DataFrame, doc_key: str, doc_text: str, spans: DataFram
                 elif not cuts_:
                     out.append(form)
                 else:
-                    places = [m.span() for m in WORD.finditer(form.lower())] if len(form.lower()) == len(form) else [m.span() for m in WORD.finditer(form)]
+                    places = words_at(form)[1]  # the same cut into words as the spans'
                     parts, at = [], 0
                     for c in cuts_:
-                        parts.append(form[at : places[c["first_word"]][0]])
-                        at = places[c["last_word"]][1]
+                        if places[c["last_word"]][1] > at:  # spans of several parts of the items may overlap
+                            parts.append(form[at : max(at, places[c["first_word"]][0])])
+                            at = places[c["last_word"]][1]
                     out.append("".join([*parts, form[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], names=[doc_key, "clean", "dropped"])
 

@@ -1,18 +1,22 @@
 """Near-duplicate records with small edits: meet-in-the-middle ball hashing.
 
 A record's *fingerprint* is a short vector of min-hash symbols of its word shingles, one per position; each record
-has ``groups`` of them. The distance of two fingerprints counts the symbols to delete and to insert to turn one into
-the other, so one replaced symbol is a distance of two. Every fingerprint emits all variants within half the radius,
-that is with up to ``radius / 2`` symbols deleted; two fingerprints within the radius meet in a common variant, so that
-a shuffle on variants brings together exactly the fingerprints in each other's ball. (With binary fingerprints the ball of
-half the radius needed for a similarity of 0.6 holds thousands of variants; with symbols it holds ``width``.) Variants travel
-packed by part of the key space, each with its class and a signature of 64 two-bit symbols; colliding pairs whose signatures differ
-by more than pairs of the wanted similarity do (3.5 standard deviations, one in some 4,000) go no further; the others are
-deduplicated and verified on their full sets of shingles.
+has ``groups`` of them. The distance of two fingerprints is the number of positions in which they differ (Hamming) and the ball's
+radius is ``radius``. Every fingerprint emits all variants within half the radius: with up to ``radius / 2`` of its symbols replaced by
+a wildcard that stands for any symbol. Two fingerprints whose differences fall in ``radius / 2`` positions have a variant in common, so a
+shuffle on variants brings them together. (With binary fingerprints the ball of half the radius needed for a similarity of 0.6 holds
+thousands of variants; a wildcard covers all symbols of its position, so with symbols it holds ``width``. It is the ball of the
+wildcard's patterns: two fingerprints that differ in up to ``radius`` positions, but in no ``radius / 2`` only, meet in none.)
+Variants travel packed by part of the key space, each with its class and a signature of 64 two-bit symbols. Colliding pairs whose signatures
+differ by more than ``spread`` standard deviations beyond what pairs of the wanted similarity do (with 5: one such pair in three million)
+go no further; ``spread=None`` is the exact way, which lets all collisions through. The others are deduplicated and verified on their full sets of shingles.
 
 A pair at similarity s is found with probability ``1 - (1 - P)^groups``, where P is the chance that at least ``width -
-radius/2`` of ``width`` symbols agree, each with probability s: with 4 symbols, radius 2 and 9 groups 0.997 at s = 0.6 and over
-0.9999 from 0.7.
+radius/2`` of ``width`` symbols agree, each with probability s: with 4 symbols, radius 2 and 12 groups 0.9996 at s = 0.6, with 6 groups
+0.9999 at s = 0.8.
+
+A variant that more than ``crowd`` classes of a task share (texts of one template) is paired outside that task: its classes are cut
+into blocks, and every two blocks meet in a task of their own.
 
 Records of the same words are one class: variants are emitted once per class and task, pairs are found between classes, and
 rows come back only where a result asks for rows. So a text that holds a third of all rows is one class of at most
@@ -52,6 +56,8 @@ class NearDupOptions:
     radius: int = 2
     groups: int = 6
     seed: int = 20240
+    spread: float | None = 5.0
+    crowd: int = 2_000
 
 
 def _words(parts: Sequence[str | None]) -> list[str]:
@@ -62,8 +68,8 @@ def _normal(parts: Sequence[str | None]) -> str:
     return " ".join(_words(parts))
 
 
-#: Two-bit symbols of a signature, and the standard deviations below its expectation that a pair may fall.
-SYMBOLS, SPREAD = 64, 3.5
+#: Two-bit symbols of a signature.
+SYMBOLS = 64
 #: Variants that one task groups.
 PART = 4_000_000
 #: Keys that may be broadcast to filter texts before they are shuffled.
@@ -145,9 +151,9 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((d | (d >> np.uint64(1))) & LOW).sum(-1)
 
 
-def _most_differ(similarity: float) -> int:
+def _most_differ(similarity: float, spread: float | None) -> int:
     same = similarity + (1 - similarity) / 4
-    return int(SYMBOLS * (1 - same) + SPREAD * (SYMBOLS * same * (1 - same)) ** 0.5)
+    return SYMBOLS if spread is None else int(SYMBOLS * (1 - same) + spread * (SYMBOLS * same * (1 - same)) ** 0.5)
 
 
 def _blob(keys: np.ndarray, signature: np.ndarray, variant: np.ndarray, row: np.ndarray) -> bytes:
@@ -169,36 +175,57 @@ def _unblob(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in out)  # type: ignore[return-value]
 
 
-def _meet(blobs: list[bytes], most: int) -> np.ndarray:
-    """The pairs of classes that share a variant and whose signatures differ in ``most`` symbols or fewer."""
+def _near(keys: np.ndarray, signature: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Of the pairs of places ``a`` and ``b`` the class pairs whose signatures differ in ``most`` symbols or fewer, the lesser class first."""
+    ok = (keys[a] != keys[b]) & (_differ(signature[a], signature[b]) <= most)
+    p = np.stack((keys[a[ok]], keys[b[ok]]), 1)
+    p.sort(1)
+    return p
+
+
+def _meet(blobs: list[bytes], most: int, crowd: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The pairs of classes that share a variant and may be alike, and the crowds ``(variant, classes, signatures)`` left to others."""
     keys, signature, variant, row = _unblob(blobs)
     order = np.argsort(variant, kind="stable")
     variant, row = variant[order], row[order]
     start = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1])))
     length = np.diff(np.concatenate((start, [len(variant)])))
-    found = [np.zeros((0, 2), np.int64)]
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        ok = (keys[a] != keys[b]) & (_differ(signature[a], signature[b]) <= most)
-        if ok.any():
-            p = np.stack((keys[a[ok]], keys[b[ok]]), 1)
-            p.sort(1)
-            found.append(p)
-
+    found, crowds = [np.zeros((0, 2), np.int64)], []
     for n in np.unique(length[length > 1]):
         runs = start[length == n]
-        if n <= 64:
-            i, j = np.triu_indices(int(n), 1)
-            step = max(1, 2_000_000 // len(i))
-            for k in range(0, len(runs), step):
-                r = row[runs[k : k + step, None] + np.arange(n)]
-                keep(r[:, i].ravel(), r[:, j].ravel())
-        else:  # a crowd: each class against all that follow, whatever their number
+        if n > crowd:
             for s in runs:
-                r = row[s : s + n]
-                for k in range(int(n) - 1):
-                    keep(np.full(n - 1 - k, r[k]), r[k + 1 :])
-    return np.unique(np.concatenate(found), axis=0)
+                held, first = np.unique(keys[row[s : s + n]], return_index=True)  # a class may come from several tasks
+                crowds.append((int(variant[s]), held, signature[row[s : s + n]][first]))
+            continue
+        i, j = np.triu_indices(int(n), 1)
+        step = max(1, 2_000_000 // len(i))
+        for k in range(0, len(runs), step):
+            r = row[runs[k : k + step, None] + np.arange(n)]
+            found.append(_near(keys, signature, r[:, i].ravel(), r[:, j].ravel(), most))
+    return np.unique(np.concatenate(found), axis=0), crowds
+
+
+def _crowd_pairs(members: DataFrame, o: NearDupOptions, most: int) -> DataFrame:
+    """The pairs within crowds ``(variant, c, x, y)``: every two blocks of some ``crowd`` classes in a group of their own."""
+    sizes = members.groupBy("variant").agg(F.ceil(F.count("*") / o.crowd).cast("int").alias("blocks"))  # crowds are few: each has more than ``crowd`` rows
+    own = members.join(sizes, "variant").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = own.select("variant", "c", "x", "y", "own", other.alias("other")).select("variant", "c", "x", "y", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def cross(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        lo = f["own"].to_numpy() == key[1]
+        keys, signature = f["c"].to_numpy(), np.stack((f["x"].to_numpy(), f["y"].to_numpy()), 1).view(np.uint64)
+        left, right = np.flatnonzero(lo), np.flatnonzero(lo if key[1] == key[2] else ~lo)
+        found = [np.zeros((0, 2), np.int64)]
+        step = max(1, 2_000_000 // max(1, len(right)))
+        for i in range(0, len(left), step):
+            part = left[i : i + step]
+            found.append(_near(keys, signature, np.repeat(part, len(right)), np.tile(right, len(part)), most))
+        p = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
+
+    return cells.groupBy("variant", "lo", "hi").applyInPandas(cross, "a bigint, b bigint")
 
 
 def _keys(text: str) -> tuple[int, int]:
@@ -235,7 +262,7 @@ def class_pairs(df: DataFrame, columns: Sequence[str], o: NearDupOptions) -> Dat
 
     variants = o.groups * len(list(combinations(range(o.width), o.width - o.radius // 2)))
     parts = max(1, -(-df.count() * variants // PART))
-    most = _most_differ(o.similarity)
+    most = _most_differ(o.similarity, o.spread)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = _Sketcher(o)
@@ -274,11 +301,18 @@ def class_pairs(df: DataFrame, columns: Sequence[str], o: NearDupOptions) -> Dat
             yield flush(texts_, keys_)
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
-        p = _meet(f["ball"].tolist(), most)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
+        p, crowds = _meet(f["ball"].tolist(), most, o.crowd)
+        out = [pd.DataFrame({"variant": np.full(len(p), -1, np.int64), "a": p[:, 0], "b": p[:, 1], "x": np.int64(0), "y": np.int64(0)})]
+        for variant, held, signature in crowds:
+            s = signature.view(np.int64)
+            out.append(pd.DataFrame({"variant": np.full(len(held), variant * parts + int(f["part"].iloc[0]), np.int64), "a": held, "b": held, "x": s[:, 0], "y": s[:, 1]}))
+        return pd.concat(out)
 
     balls = texts.mapInArrow(emit, "part int, ball binary")
-    pairs = materialize(balls.groupBy("part").applyInPandas(meet, "a bigint, b bigint").distinct(), "neardup-pairs")
+    met = materialize(balls.groupBy("part").applyInPandas(meet, "variant bigint, a bigint, b bigint, x bigint, y bigint"), "neardup-met")
+    apart = met.where("variant = -1").select("a", "b")
+    crowds = _crowd_pairs(met.where("variant >= 0").select("variant", F.col("a").alias("c"), "x", "y"), o, most)
+    pairs = materialize(apart.unionByName(crowds).distinct(), "neardup-pairs")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,7 +9,7 @@
    visit are widened until the mean recall over them reaches ``recall``. The measured figure is in ``Index.recall``.
 4. *Search.* Leaves are laid out in buckets of at most ``bucket`` vectors (a leaf with more, such as one of a vector that a third of
    all rows share, is cut into several buckets by a hash). Queries are sent to the buckets of their leaves, scored by
-   matrix products leaf by leaf, and each bucket sends on its best k for each query only.
+   matrix products leaf by leaf, and each bucket sends on its best k for each query only. Queries of equal vectors are one search.
 
 Similarity is the dot product of vectors scaled to length one. A vector is usable if it has ``dim`` finite values
 that are not all zero. Of an id's usable rows the one of the least order column counts.
@@ -146,7 +146,8 @@ def build_index(vectors: DataFrame, key: str, order: str, embedding: str, o: Nei
     n = units.count()
     share = min(1.0, 1.2 * o.sample / max(1, n))
     picked = units.where(F.pmod(F.xxhash64("id", "o"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else units
-    sample = _matrix([r.v for r in picked.select("v").limit(o.sample).collect()], o.dim)
+    # in the order of their hashes, so that the tree does not depend on the order of rows
+    sample = _matrix([r.v for r in picked.orderBy(F.xxhash64("id", "o"), "id", "o").select("v").limit(o.sample).collect()], o.dim)
     tree = Tree(sample, max(2, int(o.leaf * len(sample) / max(1, n))), o.branch, o.seed)
     held = vectors.sparkSession.sparkContext.broadcast(tree)
 
@@ -171,16 +172,25 @@ def _scan(index: Index, asked: list[tuple], k: int) -> dict:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = held.value
+        own = np.array(ids, object)
+        best: list[np.ndarray] = []  # similarity, id and leaf of each query's k best so far in this task
         for f in frames:
             f = f.drop_duplicates("id").reset_index(drop=True)
             if not len(f):
                 continue
-            s = q @ _matrix(f["v"], dim).T
-            s[f["id"].to_numpy()[None, :] == np.array(ids, object)[:, None]] = -9
+            s = (q @ _matrix(f["v"], dim).T).astype(np.float64)
+            s[f["id"].to_numpy()[None, :] == own[:, None]] = -9
             m = min(k, s.shape[1])
             top = np.argpartition(-s, m - 1, 1)[:, :m]
-            row = np.repeat(np.arange(len(ids)), m)
-            yield pd.DataFrame({"q": row, "id": f["id"].to_numpy()[top.ravel()], "s": s[row, top.ravel()].astype(np.float64), "leaf": f["leaf"].to_numpy()[top.ravel()]})
+            new = [np.take_along_axis(s, top, 1), f["id"].to_numpy()[top], f["leaf"].to_numpy()[top]]
+            if best:
+                new = [np.concatenate(x, 1) for x in zip(best, new, strict=True)]
+                if new[0].shape[1] > 2 * k:  # an id in two batches takes two places, so more than k are kept
+                    keep = np.argpartition(-new[0], 2 * k - 1, 1)[:, : 2 * k]
+                    new = [np.take_along_axis(x, keep, 1) for x in new]
+            best = new
+        if best:
+            yield pd.DataFrame({"q": np.repeat(np.arange(len(ids)), best[0].shape[1]), "id": best[1].ravel(), "s": best[0].ravel(), "leaf": best[2].ravel()})
 
     found = index.placed.mapInPandas(run, f"q int, id {id_type}, s double, leaf int").where("s > -5")
     found = found.groupBy("q", "id").agg(F.max_by("s", "s").alias("s"), F.max_by("leaf", "s").alias("leaf"))
@@ -214,7 +224,7 @@ def calibrate(index: Index, asked: DataFrame, k: int) -> None:
 
 
 def search(index: Index, asked: DataFrame) -> DataFrame:
-    """``(q, id, s)`` for ``asked (id, k, v)``: the best k ids of the visited leaves, by similarity and id."""
+    """``(q, id, s, place)`` for ``asked (h, id, k, v)``: the best k ids of the visited leaves, by similarity and id, ``id`` itself (may be null) left out; ``q`` is ``h``."""
     o = index.options
     # buckets: runs of leaves up to the size, or parts of one leaf that exceeds it; the tree bounds their table
     first: dict[int, tuple[int, int]] = {}
@@ -247,20 +257,20 @@ def search(index: Index, asked: DataFrame) -> DataFrame:
                 buckets += list(to)
                 leaves += list(to.values())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *(b.column(c).take(at) for c in range(3)), pa.array(leaves, pa.list_(pa.int32()))], names=["bucket", "q", "k", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *(b.column(c).take(at) for c in (0, 3, 1, 2)), pa.array(leaves, pa.list_(pa.int32()))], names=["bucket", "q", "own", "k", "v", "leaves"])
 
     index_visits = index.visits
-    routed = asked.select("id", "k", "v").mapInArrow(route, f"bucket int, q {id_type}, k int, v binary, leaves array<int>")
+    routed = asked.select("h", "k", "v", "id").mapInArrow(route, f"bucket int, q bigint, own {id_type}, k int, v binary, leaves array<int>")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("q", object), ("id", object), ("s", float), ("k", "int32"))})
+        empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("q", "int64"), ("id", object), ("s", float), ("k", "int32"))})
         if not len(left) or not len(right):
             return empty
         left = left.sort_values(["leaf", "id", "o"]).drop_duplicates(["leaf", "id"]).reset_index(drop=True)
         ids = left["id"].to_numpy()
         x, leaf = _matrix(left["v"], o.dim), left["leaf"].to_numpy()
         starts = {int(k): (int(s), int(e)) for k, s, e in zip(*_runs(leaf), strict=True)}
-        q, own, ks = _matrix(right["v"], o.dim), right["q"].to_numpy(), right["k"].to_numpy()
+        q, own, ks, name = _matrix(right["v"], o.dim), right["own"].to_numpy(), right["k"].to_numpy(), right["q"].to_numpy()
         visitors: dict[int, list[int]] = {}
         for i, ls in enumerate(right["leaves"]):
             for v in ls:
@@ -285,9 +295,9 @@ def search(index: Index, asked: DataFrame) -> DataFrame:
         order = np.lexsort((rows["id"].to_numpy(), -rows["s"].to_numpy(), rows["q"].to_numpy()))
         rows = rows.iloc[order]
         rows = rows[rows.groupby("q", sort=False).cumcount().to_numpy() < ks[rows["q"].to_numpy()]]
-        return pd.DataFrame({"q": own[rows["q"]], "id": ids[rows["id"]], "s": rows["s"].to_numpy(), "k": ks[rows["q"]]})
+        return pd.DataFrame({"q": name[rows["q"]], "id": ids[rows["id"]], "s": rows["s"].to_numpy(), "k": ks[rows["q"]]})
 
-    scored = stock.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInPandas(score, f"q {id_type}, id {id_type}, s double, k int")
+    scored = stock.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInPandas(score, f"q bigint, id {id_type}, s double, k int")
     once = scored.groupBy("q", "id", "k").agg(F.max("s").alias("s"))
     ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id")))
     return ranked.where("r <= k").select("q", "id", "s", F.col("r").alias("place"))
@@ -304,7 +314,14 @@ def neighbours(vectors: DataFrame, key: str, order: str, embedding: str, wanted:
     index = build_index(vectors, key, order, embedding, o)
     ids = wanted.where("id is not null and k > 0").groupBy("id").agg(F.max("k").cast("int").alias("k"))
     asked = index.placed.join(ids, "id").groupBy("id").agg(F.min_by("v", "o").alias("v"), F.max("k").alias("k"))
-    asked = materialize(asked.select("id", "k", "v"), "vector-queries")
+    asked = materialize(asked.select("id", "k", "v", F.xxhash64("v").alias("h")), "vector-queries")
     most = asked.agg(F.max("k")).first()[0] or 1
     calibrate(index, asked, most)
-    return search(index, asked), index
+    # queries of one vector are searched once, for one neighbour more, as each leaves out itself: were a third of all vectors
+    # equal, so would be a third of the queries
+    alone = asked.groupBy("v").agg(F.min("h").alias("h"), F.min("id").alias("id"), F.count("*").alias("n"), F.max("k").alias("k"))
+    alone = materialize(alone.select("h", "v", F.when(F.col("n") == 1, F.col("id")).alias("id"), F.when(F.col("n") == 1, F.col("k")).otherwise(F.col("k") + 1).cast("int").alias("k")), "vector-searches")
+    found = search(index, alone).withColumnsRenamed({"q": "h", "place": "_p"})
+    own = found.join(asked.select(F.col("id").alias("q"), "h", "k"), "h").where("id <> q")
+    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id")))
+    return ranked.where("place <= k").select("q", "id", "s", "place"), index

@@ -7,7 +7,7 @@
    ``d(y, p) <= d(y, home(y)) + 2r`` holds for every partner ``y`` within radius ``r`` of an object of
    pivot ``p``, exactly the objects on that side of the boundary are replicated to ``p``'s cell. An exact
    radius join runs inside each cell; a cell's own objects are cut into blocks, which bounds a task's index;
-   all objects of the cell are looked up in each block. Below twice ``objects_per_pivot`` objects there is one cell.
+   all objects of the cell are looked up in each block. There are at least ``least_pivots`` cells, whatever the size.
 3. Names whose families are partners and whose given names agree (equal, initial, nickname or one edit) are
    candidates. They are linked if they share people they write with, or if those people write with each
    other, or, where a name stands nearly alone, if they work in the same category. A name with initials only
@@ -36,20 +36,20 @@ from paperloom.llm.graph import components
 from paperloom.llm.names import damerau, damerau_many, encode, parts
 from paperloom.runtime import materialize
 
-#: Common short forms of given names (short form, name).
+#: Common short forms of given names (short form, name). Where a form stands for several names, the corpus decides.
 NICKNAMES = (
     ("abe", "abraham"), ("al", "albert"), ("alex", "alexander"), ("andy", "andrew"), ("becky", "rebecca"), ("ben", "benjamin"),
     ("beppe", "giuseppe"), ("bert", "albert"), ("beth", "elizabeth"), ("betty", "elizabeth"), ("bill", "william"), ("bob", "robert"),
-    ("cathy", "katharina"), ("charlie", "charles"), ("chris", "christopher"), ("chuck", "charles"), ("dan", "daniel"), ("dave", "david"),
-    ("debbie", "deborah"), ("dick", "richard"), ("dima", "dmitri"), ("dora", "theodora"), ("ed", "edward"), ("eddie", "edward"),
-    ("fred", "frederik"), ("fritz", "friedrich"), ("greg", "gregory"), ("hank", "henry"), ("hannes", "johannes"), ("hans", "johannes"),
+    ("cathy", "catherine"), ("cathy", "katherine"), ("cathy", "katharina"), ("charlie", "charles"), ("chris", "christopher"), ("chuck", "charles"), ("dan", "daniel"), ("dave", "david"),
+    ("debbie", "deborah"), ("dick", "richard"), ("dima", "dmitri"), ("dora", "dorothea"), ("dora", "theodora"), ("ed", "edward"), ("eddie", "edward"),
+    ("fred", "frederick"), ("fred", "alfred"), ("fred", "frederik"), ("fritz", "friedrich"), ("greg", "gregory"), ("hank", "henry"), ("hannes", "johannes"), ("hans", "johannes"),
     ("harry", "henry"), ("jack", "john"), ("jan", "johannes"), ("jeff", "jeffrey"), ("jim", "james"), ("joe", "joseph"),
-    ("kate", "katharina"), ("kathi", "katharina"), ("katja", "katharina"), ("katya", "ekaterina"), ("ken", "kenneth"), ("kit", "christopher"),
+    ("kate", "katherine"), ("kate", "catherine"), ("kate", "katharina"), ("kathi", "katharina"), ("katja", "katharina"), ("katya", "ekaterina"), ("ken", "kenneth"), ("kit", "christopher"),
     ("larry", "lawrence"), ("lena", "magdalena"), ("leni", "magdalena"), ("liz", "elizabeth"), ("maggie", "margaret"), ("magda", "magdalena"), ("matt", "matthew"),
     ("meg", "margaret"), ("micha", "michael"), ("mick", "michael"), ("mike", "michael"), ("ned", "edward"), ("nick", "nicholas"), ("paco", "francisco"),
-    ("pancho", "francisco"), ("pat", "patricia"), ("peggy", "margaret"), ("pepe", "jose"), ("pete", "peter"), ("rich", "richard"), ("rick", "richard"), ("rik", "frederik"),
-    ("rob", "robert"), ("sam", "samantha"), ("sanne", "susanne"), ("sasha", "alexander"), ("sepp", "joseph"), ("steve", "steven"),
-    ("sue", "susanne"), ("susi", "susanne"), ("ted", "edward"), ("theo", "theodora"), ("tim", "timothy"), ("tom", "thomas"), ("tony", "anthony"),
+    ("pancho", "francisco"), ("pat", "patricia"), ("peggy", "margaret"), ("pepe", "jose"), ("pete", "peter"), ("rich", "richard"), ("rick", "richard"), ("rik", "richard"), ("rik", "hendrik"), ("rik", "frederik"),
+    ("rob", "robert"), ("sam", "samuel"), ("sam", "samantha"), ("sanne", "susanne"), ("sasha", "alexander"), ("sepp", "joseph"), ("steve", "steven"),
+    ("sue", "susanne"), ("susi", "susanne"), ("ted", "edward"), ("theo", "theodore"), ("theo", "theodor"), ("theo", "theodora"), ("tim", "timothy"), ("tom", "thomas"), ("tony", "anthony"),
     ("vicky", "victoria"), ("will", "william"),
 )
 
@@ -58,6 +58,7 @@ NICKNAMES = (
 class VariantOptions:
     radius: int = 1
     objects_per_pivot: int = 5000
+    least_pivots: int = 4
     max_pivots: int = 512
     pivot_sample: int = 4000
     block: int = 20_000
@@ -96,7 +97,7 @@ def radius_join(objects: DataFrame, column: str, options: VariantOptions = Varia
     values = materialize(objects.select(F.col(column).alias("x")).where("x is not null and x <> ''").distinct(), "metric-objects")
     n = values.count()
     sample = [row.x for row in values.orderBy(F.xxhash64("x"), "x").limit(options.pivot_sample).collect()]
-    pivots = _pivots(sorted(sample), max(1, min(options.max_pivots, n // options.objects_per_pivot)))
+    pivots = _pivots(sorted(sample), max(options.least_pivots, min(options.max_pivots, n // options.objects_per_pivot)))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -158,7 +159,10 @@ def parse_names(names: DataFrame) -> DataFrame:
         "middle",
         "nick",
     )
-    fixed = names.sparkSession.createDataFrame(list(NICKNAMES), "nick string, full string").withColumn("n", F.lit(1))
+    # of a form's names the one that the corpus spells out most often; one that it never does may still stand alone
+    spelled = ordered.where("length(given) > 1").groupBy(F.col("given").alias("full")).agg(F.count("*").alias("used"))
+    fixed = F.broadcast(names.sparkSession.createDataFrame(list(NICKNAMES), "nick string, full string")).join(spelled, "full", "left")  # a fixed list
+    fixed = fixed.groupBy("nick").agg(F.max_by("full", F.struct(F.coalesce("used", F.lit(0)), "full")).alias("full")).withColumn("n", F.lit(1))
     heard = ordered.where("nick <> '' and length(given) > 1").groupBy("nick", F.col("given").alias("full")).agg((F.count("*") + 1).cast("int").alias("n"))
     short = fixed.unionByName(heard).groupBy("nick").agg(F.max_by("full", F.struct("n", "full")).alias("full"))
     return ordered.drop("nick").join(short.withColumnRenamed("nick", "given"), "given", "left").withColumn("canon", F.coalesce("full", "given")).withColumn("initials", F.array_distinct(F.array(F.substring("given", 1, 1), F.substring("canon", 1, 1)))).drop("full")

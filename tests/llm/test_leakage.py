@@ -1,6 +1,6 @@
 import random
 
-from paperloom.llm.leakage import Automaton, find_leaks, leaked_spans, remove_leaks
+from paperloom.llm.leakage import Automaton, find_leaks, leaked_spans, remove_leaks, words_at, words_of
 
 
 def test_automaton_equals_brute_force():
@@ -62,3 +62,24 @@ def test_empty(spark):
     docs, items = frames(spark)
     assert find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def test_letters_whose_lower_case_is_longer(spark):
+    """A dotted capital I becomes two characters, so places in the lowered text are not places in the text."""
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"İstanbul İİ. {ITEM} tail words here stay " + "more " * 30)], "doc_id bigint, text string")
+    spans = leaked_spans(docs, "doc_id", "text", items, "item_id", "text")
+    got = remove_leaks(docs, "doc_id", "text", spans).first()
+    assert got.clean == "İstanbul İİ.  tail words here stay " + "more " * 30 and not got.dropped
+    for text in ("İstanbul x", "abc İ", "ẞ Straße", ""):
+        ws, at = words_at(text)
+        assert ws == words_of(text) and len(ws) == len(at) and all(text[a:b].lower()[:1] == w.lower()[:1] for (a, b), w in zip(at, ws, strict=True))
+
+
+def test_overlapping_spans_of_several_parts_count_once(spark):
+    a, b = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(8)]
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[8:] + b))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(a + b) + " y" * 40)], "doc_id bigint, text string")
+    for most in (200_000, 20):
+        spans = leaked_spans(docs, "doc_id", "text", items, "item_id", "text", max_item_words=most)
+        assert remove_leaks(docs, "doc_id", "text", spans).first()[1:] == ("x " + " y" * 40, False)

@@ -71,14 +71,27 @@ def test_signatures_follow_similarity():
     base = [f"w{i}" for i in range(100)]
     _, sig = s([base, base, base[:50] + [f"x{i}" for i in range(50)], [f"y{i}" for i in range(100)]])
     d = [int(_differ(sig[0], sig[k])) for k in range(4)]
-    assert d[0] == d[1] == 0 < d[2] < d[3] and d[3] > _most_differ(0.6) > 19
+    assert d[0] == d[1] == 0 < d[2] < d[3] and d[3] > _most_differ(0.6, 3.5) > 19
 
 
 def test_a_crowd_in_one_variant_loses_nothing():
     n = 200
     keys, sig = np.arange(n), np.zeros((n, 2), np.uint64)
     blob = [__import__("paperloom.llm.neardup", fromlist=["x"])._blob(keys, sig, np.zeros(n, np.uint32), np.arange(n))]
-    assert len(_meet(blob, 0)) == n * (n - 1) // 2
+    assert len(_meet(blob, 0, 1_000)[0]) == n * (n - 1) // 2
+    pairs, crowds = _meet(blob, 0, 100)
+    assert not len(pairs) and [(v, c.tolist()) for v, c, _ in crowds] == [(0, list(range(n)))]
+
+
+def test_crowds_are_paired_outside_the_task(spark):
+    """Texts of one template, all alike: every pair comes out, whether or not a task pairs the crowd itself."""
+    r = random.Random(5)
+    base = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:50] + [f"own{i}x{j}" for j in range(r.randint(0, 3))]), None) for i in range(60)] + [(100, " ".join(base[10:]), None)]
+    whole = {tuple(x) for x in row_pairs(frame(spark, rows), "k", ["title", "abstract"], NearDupOptions(shingle=3, similarity=0.6, groups=12)).collect()}
+    for o in (NearDupOptions(shingle=3, similarity=0.6, groups=12, crowd=7), NearDupOptions(shingle=3, similarity=0.6, groups=12, crowd=7, spread=None)):
+        assert {tuple(x) for x in row_pairs(frame(spark, rows), "k", ["title", "abstract"], o).collect()} == whole
+    assert len(whole) >= 60 * 59 // 2
 
 
 def test_short_and_empty_rows_have_a_group(spark):

@@ -66,3 +66,15 @@ def test_tiny_collections(spark, n):
     rows = [(f"p{i}", i, [i + 1] * 8) for i in range(n)]
     found, _ = neighbours(frame(spark, rows), "id", "n", "e", spark.createDataFrame([("p0", 3)], "id string, k int"), OPTIONS)
     assert found.count() == n - 1
+
+
+def test_queries_of_one_vector_are_one_search(spark):
+    """A third of all rows share a vector and all of them ask: each leaves out itself only."""
+    rows = [(f"p{i:03}", i, [1, 1, 0, 0, 0, 0, 0, 0]) for i in range(40)] + [(f"q{i:03}", i, [0, 0, 1, i + 1, 0, 0, 0, 0]) for i in range(80)]
+    asked = spark.createDataFrame([(f"p{i:03}", 3) for i in range(40)] + [("q001", 2)], "id string, k int")
+    found, _ = neighbours(frame(spark, rows), "id", "n", "e", asked, OPTIONS)
+    got = {}
+    for r in found.orderBy("place").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert len(got) == 41 and len(got["q001"]) == 2
+    assert all(got[f"p{i:03}"] == [f"p{j:03}" for j in range(4) if j != i][:3] for i in range(40))

@@ -30,7 +30,7 @@ ROWS = [(1, "Graph graph", "a b"), (2, None, "b"), (3, "", None), (4, "Graph", "
 
 
 def test_counts_and_marks(spark):
-    store = TermStore(spark, buckets=3)
+    store = TermStore(spark)
     store.merge(term_delta(table(spark, ROWS), ["title", "abstract"]))
     assert state(store) == brute(ROWS) and store.total() == 5
     marks = {(r.field, r.term): r.band for r in store.marks(1, 0.5).collect()}
@@ -39,7 +39,7 @@ def test_counts_and_marks(spark):
 
 
 def test_signed_deltas_equal_a_recount(spark):
-    store = TermStore(spark, buckets=3)
+    store = TermStore(spark)
     old = [(1, "a b", "x"), (2, "b c", None), (3, "gone", "gone gone")]
     new = [(1, "a b", "x"), (2, "b d", "y"), (4, "a", "")]
     store.merge(term_delta(table(spark, old), ["title", "abstract"]))
@@ -50,7 +50,7 @@ def test_signed_deltas_equal_a_recount(spark):
 
 
 def test_everything_deleted_and_empty_batches(spark):
-    store = TermStore(spark, buckets=2)
+    store = TermStore(spark)
     store.merge(term_delta(table(spark, ROWS), ["title", "abstract"]))
     store.merge(term_delta(table(spark, []), ["title", "abstract"]))
     assert state(store) == brute(ROWS)
@@ -59,3 +59,20 @@ def test_everything_deleted_and_empty_batches(spark):
     empty = TermStore(spark)
     empty.merge(term_delta(table(spark, []), ["title"]))
     assert state(empty) == set() and empty.marks().count() == 0
+
+
+def test_a_merge_that_dies_changes_nothing_and_a_batch_counts_once(spark, monkeypatch):
+    store = TermStore(spark, bucket_terms=1)
+    assert store.merge(term_delta(table(spark, ROWS[:3]), ["title", "abstract"]), "one")
+    late = term_delta(table(spark, ROWS[3:]), ["title", "abstract"])
+    monkeypatch.setattr(TermStore, "_commit", lambda self, manifest: 1 / 0)  # all buckets are written, the manifest is not
+    try:
+        store.merge(late, "two")
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    assert state(store) == state(TermStore(spark, store.path)) == brute(ROWS[:3])
+    again = TermStore(spark, store.path)
+    assert again.merge(late, "two") and not again.merge(late, "two") and not again.merge(late, "one")
+    assert state(again) == brute(ROWS) and again.total() == 5
+    assert again.drop_old() > 0 and state(TermStore(spark, store.path)) == brute(ROWS)

@@ -93,3 +93,9 @@ def test_components(spark):
     got = {row.node: row.component for row in components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
     assert got == {x: least[find(x)] for x in parent}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_pairs_do_not_depend_on_the_number_of_pivots(spark):
+    xs = spark.createDataFrame([(x,) for x in words(300, 7, "abcdefg", 9)], "x string")
+    got = [{tuple(r) for r in radius_join(xs, "x", VariantOptions(least_pivots=n)).collect()} for n in (1, 4, 23)]
+    assert got[0] == got[1] == got[2] and got[0]
