@@ -90,14 +90,16 @@ class Tree:
             todo += [(c, rows[label == k]) for k, c in enumerate(self.children[node]) if (label == k).any()]
         return out
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves, best bin first."""
+    def visit(self, q: np.ndarray, leaves: int, counts: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """The first ``leaves`` leaves, best bin first, and as many more as it takes to hold ``need`` rows by their ``counts``."""
         queue: list[tuple[float, int]] = [(0.0, 0)]
         out: list[int] = []
-        while queue and len(out) < leaves:
+        held = 0
+        while queue and (len(out) < leaves or held < need):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(self.leaf_of[node])
+                held += counts.get(out[-1], 0) if counts is not None else 0
                 continue
             d = ((self.blocks[node] - q) ** 2).sum(1)
             for k, c in enumerate(self.children[node]):
@@ -238,18 +240,19 @@ def search(index: Index, asked: DataFrame) -> DataFrame:
         if parts > 1:
             bucket, load = bucket + parts, 0
     spark = asked.sparkSession
-    held = spark.sparkContext.broadcast((index.tree, first))
+    held = spark.sparkContext.broadcast((index.tree, first, index.counts))
     id_type = index.placed.schema["id"].dataType.simpleString()
     layout = F.broadcast(spark.createDataFrame([(leaf, b, p) for leaf, (b, p) in first.items()] or [(-1, 0, 1)], "leaf int, bucket int, parts int"))
     stock = index.placed.join(layout, "leaf").select((F.col("bucket") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("bucket"), "leaf", "id", "o", "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, first = held.value
+        tree, first, counts = held.value
         for b in batches:
             rows, buckets, leaves = [], [], []
-            for i, v in enumerate(b.column(2).to_pylist()):
+            for i, (k, v) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 to: dict[int, list[int]] = {}
-                for leaf in tree.visit(np.frombuffer(v, np.float32), index_visits):
+                # small leaves: as many as hold k others, were each sent twice
+                for leaf in tree.visit(np.frombuffer(v, np.float32), index_visits, counts, 2 * (k + 1)):
                     at, parts = first.get(leaf, (0, 0))
                     for p in range(parts):
                         to.setdefault(at + p, []).append(leaf)
