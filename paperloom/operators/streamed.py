@@ -32,7 +32,7 @@ from paperloom.operators.vectors import WORD, Embedder, HashingEmbedder
 #: Documents of an inverted list, and of a block of them in memory.
 PART = 32_768
 #: Columns of which one maximum is taken, and elements of a matrix of scores.
-GROUPS, CELLS = 16, 1 << 22
+GROUPS, CELLS = 16, 1 << 20
 #: The title's part of a document's counts of query words.
 TITLE = 1 << 16
 LISTS = "shard_id int, part string, n int, term string, docs binary, tf_title binary, tf_abstract binary, vectors binary, df_title bigint, df_abstract bigint, cf_title bigint"
@@ -178,7 +178,9 @@ class _Block:
             t = t.filter(pc.is_in(t["part"], value_set=pa.array(parts)))
             heads.append(t.filter(pc.is_null(t["term"])))
             rows.append(t.filter(pc.is_in(t["term"], value_set=asked)).drop_columns(["vectors"]))
+            del t
         head, rows = pa.concat_tables(heads), pa.concat_tables(rows).combine_chunks()
+        del heads
         read = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in head[c].to_pylist()])
         line = read("docs", np.int64)
         order = np.argsort(line, kind="stable")
@@ -196,14 +198,18 @@ class _Block:
         docs = place[flat("docs") + np.repeat(own, count)]
         w = np.zeros(len(docs))
         tfs = flat("tf_title"), flat("tf_abstract")
+        start, term = np.cumsum(count) - count, np.repeat(code, count)
         for i, (tf, length, weight, average) in enumerate(zip(tfs, ("tf_title", "tf_abstract"), (config.title_weight, config.abstract_weight), averages, strict=True)):
             own_idf = np.array([idf[t][i] for t in names])
             relative = (read(length, np.int32) / average if average else np.zeros(self.n))[order]
             base = config.k1 * (1 - config.b + config.b * relative)
-            w += weight * np.repeat(own_idf[code], count) * tf * (config.k1 + 1) / np.where(tf > 0, tf + base[docs], 1)
-        hit = 1 + TITLE * (tfs[0] > 0).astype(np.int32)
+            for a in range(0, len(w), 1 << 17):  # in steps, which bound the arrays in between
+                b = slice(a, a + (1 << 17))
+                w[b] += weight * own_idf[term[b]] * tf[b] * (config.k1 + 1) / np.where(tf[b] > 0, tf[b] + base[docs[b]], 1)
+        hit = (1 + TITLE * (tfs[0] > 0)).astype(np.int32)
+        del rows, head, tfs, term
+        pa.default_memory_pool().release_unused()
         # rows of one term, of several parts, next to each other; a word of many documents is held as a full row
-        start = np.cumsum(count) - count
         self.lists: dict[str, tuple[np.ndarray | None, np.ndarray, np.ndarray]] = {}
         spans: dict[int, list[slice]] = {}
         for c, a, n in zip(code, start, count, strict=True):
@@ -307,7 +313,9 @@ def _search(fs: pafs.FileSystem, root: str, blocks: dict, shards: dict[int, dict
         found: list[tuple] = []
         top = np.full(n, -np.inf)
         near: tuple | None = None
+        block = None
         for parts, where in own:
+            del block  # before the next one is read
             block = _Block(fs, parts, where, wanted, idf, (stats["avg_title"], stats["avg_abstract"]), config)
             places, dists = block.nearest(distinct, kv)
             k, kn = min(kw, block.n), min(kv, block.n)
@@ -349,6 +357,7 @@ def _search(fs: pafs.FileSystem, root: str, blocks: dict, shards: dict[int, dict
                 order = np.lexsort((fresh[0], fresh[1]), axis=1)[:, :kv]
                 fresh = tuple(np.take_along_axis(x, order, 1) for x in fresh)
             near = fresh
+            del raw, hits
             if len(found) > 1:
                 found = [_first(found, top, 2 * kw if (top >= 0).all() else None)]
         line, score, hit = _first(found, top, kw) if len(own) > 1 else found[0]

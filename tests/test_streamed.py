@@ -40,7 +40,7 @@ def test_dictionary_of_lists(spark, tmp_path):
     assert sorted(lists.dictionary().collect()) == sorted(word_frequency(papers).collect())
 
 
-@pytest.mark.parametrize("name", ["search_batch"])
+@pytest.mark.parametrize("name", ["search_batch", "search_corrected"])
 def test_many_requests_shuffle_no_candidates(spark, data, name):
     plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" not in plan and "MapInArrow" in plan
